@@ -67,14 +67,18 @@ def words_of(data: bytes, separators: np.ndarray = SPACE, prefix: int = 0):
     inside = np.concatenate(([False], ~separators[raw], [False]))
     turns = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = turns[0::2], turns[1::2]
+    out = [starts, ends, span_hashes(raw, starts, ends)]
+    if prefix:
+        out.append(mix(span_hashes(raw, starts, np.minimum(ends, starts + prefix)) + np.uint64(77)))
+    return tuple(out)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end)."""
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[raw] * _power("up", _BASE, len(raw))[: len(raw)], out=sums[1:])
     back = _power("down", _BASE_INVERSE, len(raw) + 1)[starts]
-    out = [starts, ends, mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))]
-    if prefix:
-        heads = np.minimum(ends, starts + prefix)
-        out.append(mix((sums[heads] - sums[starts]) * back + np.uint64(77)))
-    return tuple(out)
+    return mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))
 
 
 def _long_words(data: bytes, separators: np.ndarray, prefix: int):

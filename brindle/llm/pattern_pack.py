@@ -19,86 +19,141 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.common import cut, gapless
-
-_CACHED_WORDS = 400_000
-_BREAK = "<|endoftext|>"
-_tokenizers: dict[str, _Words] = {}
-
-
-class _Words:
-    """Token ids of texts from the ids of their words, as white space always
-    ends a token; words met before are looked up."""
+from brindle.llm.hashing import mix, pieces, span_hashes
+
+_CACHED_UNITS = 1_500_000
+_tokenizers: dict[str, _Units] = {}
+
+# Classes of bytes in lower-cased UTF-8. White space and changes of class end a
+# pre-token of the tokenizer's pattern, and every digit is one of its own. Bytes
+# that this does not decide (apostrophes, which begin contractions, and all
+# beyond Latin-1 letters) leave their whole word to the tokenizer.
+_SPACE, _LETTER, _DIGIT, _OTHER, _UNSURE = range(5)
+_CLASS = np.full(256, _UNSURE, dtype=np.uint8)
+_CLASS[32:127] = _OTHER
+_CLASS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_CLASS[48:58] = _DIGIT
+_CLASS[97:123] = _LETTER
+_CLASS[ord("'")] = _UNSURE
+_LATIN = 0xC3  # first byte of the letters of Latin-1
+
+
+def _hidden() -> dict[int, int]:
+    """Byte-level alphabet: visible Latin-1 bytes stand for themselves, the
+    others, in order, for the characters from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - own))}
+
+
+class _Units:
+    """Token ids of texts from the ids of their pre-tokens.
+
+    Pre-tokens are found and hashed with array operations; each distinct one
+    is tokenised once by the tokenizer's model, and those met before are
+    looked up. The cache is bounded and starts again when it is full.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(_BREAK)
+        self.alphabet = _hidden()
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.length = np.zeros(0, dtype=np.int64)
+        self.hashes = np.zeros(0, dtype=np.uint64)  # ascending
         self.start = np.zeros(0, dtype=np.int64)
+        self.length = np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-
-    def learn(self, words: list[str]) -> None:
-        odd = [w for w in words if "<|" in w]
-        plain = [w for w in words if "<|" not in w]
-        lengths, ids = [], []
-        for at in range(0, len(plain), 2000):
-            some = plain[at : at + 2000]
-            got = np.array(self.tokenizer.encode(_BREAK.join(some), add_special_tokens=False).ids, dtype=np.uint32)
-            marks = np.flatnonzero(got == self.mark)
-            lengths.append(np.diff(np.concatenate(([-1], marks, [len(got)]))) - 1)
-            ids.append(got[got != self.mark])
-        for w in odd:
-            one = self.whole(w)
-            lengths.append(np.array([len(one)]))
-            ids.append(one)
-        more = np.concatenate([np.asarray(x, dtype=np.int64) for x in lengths])
-        base = len(self.flat)
-        self.start = np.concatenate([self.start, base + np.cumsum(more) - more])
-        self.length = np.concatenate([self.length, more])
-        self.flat = np.concatenate([self.flat, *ids])
-        self.number.update(zip(plain + odd, range(len(self.number), len(self.number) + len(words)), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.number})
-        if new:
-            if len(self.number) + len(new) > _CACHED_WORDS:
-                self.clear()
-                new = list({w for words in split for w in words})
-            self.learn(new)
+    def _learn(self, units: list[bytes], whole: np.ndarray) -> list[list[int]]:
+        model, alphabet = self.tokenizer.model, self.alphabet
         out = []
-        for text, words in zip(texts, split, strict=True):
-            if _has_odd_space(text):
-                out.append(self.whole(text))
-                continue
-            at = np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
-            n = self.length[at]
-            ends = np.cumsum(n)
-            out.append(self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + n, n)])
+        for unit, odd in zip(units, whole.tolist(), strict=True):
+            if odd:
+                out.append(self.tokenizer.encode(unit.decode(), add_special_tokens=False).ids)
+            else:
+                out.append([t.id for t in model.tokenize(unit.decode("latin-1").translate(alphabet))])
         return out
 
+    def _numbers(self, hashes: np.ndarray, raw: bytes, low: bytes, starts, ends, whole) -> np.ndarray:
+        """Places in the cache of all units, learning the new ones."""
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        known = np.zeros(len(distinct), dtype=bool)
+        known[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] == distinct[at < len(self.hashes)]
+        if not known.all():
+            if len(self.hashes) + (~known).sum() > _CACHED_UNITS and len(self.hashes):
+                self.clear()
+                known[:] = False
+            new = first[~known]
+            units = [(raw if w else low)[a:b] for a, b, w in zip(starts[new].tolist(), ends[new].tolist(), whole[new].tolist(), strict=True)]
+            ids = self._learn(units, whole[new])
+            length = np.array([len(x) for x in ids], dtype=np.int64)
+            start = len(self.flat) + np.cumsum(length) - length
+            self.flat = np.concatenate([self.flat, np.array([t for x in ids for t in x], dtype=np.uint32)])
+            every = np.concatenate([self.hashes, distinct[~known]])
+            order = np.argsort(every, kind="stable")
+            self.hashes, self.start, self.length = every[order], np.concatenate([self.start, start])[order], np.concatenate([self.length, length])[order]
+            at = np.searchsorted(self.hashes, distinct)
+        return at[inverse]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for first, last, data in pieces(texts, 1 << 21):
+            out += self._encode(texts[first:last], data)
+        return out
 
-def _has_odd_space(text: str) -> bool:
-    """Separators that str.split takes for white space and the tokenizer not."""
-    return any(c in text for c in "\x1c\x1d\x1e\x1f")
+    def _encode(self, texts: list[str], data: bytes) -> list[np.ndarray]:
+        raw = np.frombuffer(data, dtype=np.uint8)
+        low = raw.copy()
+        low[(raw >= 65) & (raw <= 90)] += 32
+        after_latin = np.concatenate(([False], raw[:-1] == _LATIN))
+        low[after_latin & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)] += 32
+        kind = _CLASS[low]
+        letter = after_latin & (low != 0x97) & (low != 0xB7)
+        kind[letter] = _LETTER
+        kind[:-1][(raw[:-1] == _LATIN) & letter[1:]] = _LETTER
+        # words, and whether one of their bytes, or a special token, is unsure
+        solid = np.concatenate(([False], kind != _SPACE, [False]))
+        turns = np.flatnonzero(solid[1:] != solid[:-1])
+        word_start, word_end = turns[0::2], turns[1::2]
+        unsure = np.concatenate(([0], np.cumsum((kind == _UNSURE) | (np.concatenate((raw[:-1] == 60, [False])) & np.concatenate((raw[1:] == 124, [False]))))))
+        odd = unsure[word_end] > unsure[word_start]
+        # units begin at changes of class and at digits, in odd words only once
+        begins = np.concatenate(([True], kind[1:] != kind[:-1])) | (kind == _DIGIT)
+        begins &= kind != _SPACE
+        inside_odd = np.zeros(len(raw) + 1, dtype=np.int8)
+        np.add.at(inside_odd, word_start[odd], 1)
+        np.add.at(inside_odd, word_end[odd], -1)
+        begins &= np.cumsum(inside_odd[:-1]) == 0
+        begins[word_start[odd]] = True
+        starts = np.flatnonzero(begins)
+        word = np.searchsorted(word_start, starts, side="right") - 1
+        ends = np.minimum(np.append(starts[1:], len(raw)), word_end[word]) if len(starts) else starts
+        whole = odd[word] if len(starts) else np.zeros(0, dtype=bool)
+        hashes = span_hashes(low, starts, ends)
+        # case matters to the tokenizer only inside odd words, kept apart by their own bytes
+        if whole.any():
+            hashes[whole] = mix(span_hashes(raw, starts[whole], ends[whole]) + np.uint64(1))
+        at = self._numbers(hashes, data, low.tobytes(), starts, ends, whole)
+        length = self.length[at]
+        total = np.cumsum(length)
+        ids = self.flat[np.arange(total[-1] if len(total) else 0) + np.repeat(self.start[at] - total + length, length)]
+        borders = np.cumsum([len((t or "").encode("utf-8", "replace")) + 1 for t in texts])
+        units = np.searchsorted(starts, borders)
+        token_ends = np.concatenate(([0], total))[units]
+        return [ids[a:b] for a, b in zip(np.concatenate(([0], token_ends[:-1])), token_ends, strict=True)]
 
 
 def _pieces(path: str, longest: int, end_id: int):
     def cut_up(batches):
-        words = _tokenizers.get(path) or _tokenizers.setdefault(path, _Words(path))
+        units = _tokenizers.get(path) or _tokenizers.setdefault(path, _Units(path))
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                rows = batch.slice(at, 128).to_pydict()
+            for at in range(0, batch.num_rows, 1024):
+                rows = batch.slice(at, 1024).to_pydict()
                 cols: list[list] = [[], [], [], [], []]
-                for doc_id, ids in zip(rows["doc_id"], words.encode([t or "" for t in rows["text"]]), strict=True):
+                for doc_id, ids in zip(rows["doc_id"], units.encode([t or "" for t in rows["text"]]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for k, start in enumerate(range(0, len(ids), longest)):
                         part = ids[start : start + longest]
