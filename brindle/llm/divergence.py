@@ -19,80 +19,67 @@ COMMON_WORDS = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "que", "est", "dans", "qui", "pour"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "para"],
 }
-# The characters of each class of the histogram that is written
-# out; capitals, small letters and letters of other scripts follow by pattern.
+# The classes of the character histogram: small and capital letters of ASCII and
+# Latin scripts by rule, the others written out (fixed values); what is in none,
+# as letters of other scripts, is the last class.
+SMALL = "".join(c for c in map(chr, range(0x61, 0x180)) if c.islower())
+CAPITAL = "".join(c for c in map(chr, range(0x41, 0x180)) if c.isupper())
 SYMBOLS = "#*$%&|<>"
 DIGITS = "0123456789"
 MARKS = ".,;:!?'\"()-"
-CLASSES = ["lower", "upper", "digit", "space", "mark", "symbol", "other"]
+CLASSES = ["small", "capital", "digit", "space", "mark", "symbol", "other"]
 
 
-def _count_of(text: Column, characters: str) -> Column:
+def _count_in(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, characters, ""))
 
 
-def _windows(width: int = 5) -> Column:
-    """64-bit hashes of the runs of ``width`` words, from the words' ``_hashes``."""
-    return F.transform(
-        F.sequence(F.lit(1), F.size("_hashes") - (width - 1)),
-        lambda i: F.xxhash64(*[F.element_at("_hashes", i + k) for k in range(width)]),
-    )
-
-
 def features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, n_words, the base counts and both histograms per row."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), text.alias("text"))
+    """doc_id, lang, n_words, the base counts and both histograms per row.
+
+    Words in windows found twice or more: windows of five words are compared by
+    64-bit hashes; only texts in which one repeats are sorted, where equal
+    neighbours mark the repeated windows, each of which counts its words up to
+    the next of them.
+    """
+    rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("_words", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
-    rows = rows.withColumn("n_words", F.size("_words").cast("long"))
-    # words in windows found twice or more: windows are compared by hash; only
-    # texts in which one repeats are sorted, where equal neighbours mark the
-    # repeated windows and each counts its words up to the next of them
-    rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    rows = rows.withColumn("_windows", F.when(F.col("n_words") > 5, _windows()).otherwise(F.array().cast("array<bigint>")))
-    # sorted (hash, place) pairs, only where some window occurs twice
+    rows = rows.withColumn("n_words", F.size("_words").cast("long")).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).drop("_words")
+    no_longs = F.array().cast("array<bigint>")
+    windows = F.transform("_hashes", lambda h, i: F.xxhash64(h, *[F.get("_hashes", i + k) for k in range(1, 5)]))
+    rows = rows.withColumn("_windows", F.when(F.col("n_words") > 5, F.slice(windows, F.lit(1), F.greatest(F.size("_hashes") - 4, F.lit(0)))).otherwise(no_longs))
     twice = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    rows = rows.withColumn(
-        "_sorted",
-        F.when(twice, F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")),
-    )
-    same = lambda x, k: F.try_element_at("_sorted", k)["h"] == x["h"]
-    rows = rows.withColumn(
-        "_places",
-        F.array_sort(
-            F.transform(
-                F.filter("_sorted", lambda x, k: F.coalesce(same(x, k + 2), F.lit(False)) | ((k > 0) & F.coalesce(same(x, F.greatest(k, F.lit(1))), F.lit(False)))),
-                lambda x: x["i"],
-            )
-        ),
-    )
-    gaps = F.transform("_places", lambda p, k: F.least(F.lit(5), F.coalesce(F.try_element_at("_places", k + 2) - p, F.lit(5))))
-    repeated = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, b: a + b)
+    placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = rows.withColumn("_sorted", F.when(twice, placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))).drop("_windows")
+    same = lambda x, k: F.coalesce(F.get("_sorted", k)["h"] == x["h"], F.lit(False))
+    repeated = F.filter("_sorted", lambda x, k: same(x, k + 1) | same(x, k - 1))
+    rows = rows.withColumn("_places", F.sort_array(F.transform(repeated, lambda x: x["i"]))).drop("_sorted")
+    gaps = F.transform("_places", lambda p, k: F.least(F.lit(5), F.coalesce(F.get("_places", k + 1) - p, F.lit(5))))
+    rows = rows.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0).cast("long"), lambda x, y: x + y)).drop("_places")
     lines = F.filter(F.split("text", "\n"), lambda line: F.length(F.translate(line, SPACES, "")) > 0)
-    small = F.length(F.regexp_replace("text", r"[^\p{Ll}]+", ""))
-    capital = F.length(F.regexp_replace("text", r"[^\p{Lu}]+", ""))
-    rows = rows.withColumn("_lines", lines).withColumn("_small", small).withColumn("_capital", capital)
-    rows = rows.withColumn("_space", _count_of(F.col("text"), SPACES)).withColumn("_symbol", _count_of(F.col("text"), SYMBOLS))
-    rows = rows.withColumn("_digit", _count_of(F.col("text"), DIGITS)).withColumn("_mark", _count_of(F.col("text"), MARKS))
-    classes = [F.col("_small"), F.col("_capital"), F.col("_digit"), F.col("_space"), F.col("_mark"), F.col("_symbol")]
-    other = F.greatest(F.length("text") - sum(classes[1:], classes[0]), F.lit(0))
-    # words of the language's list, without marks and case
-    plain = F.array_remove(F.split(F.lower(F.translate("text", MARKS + SYMBOLS + SPACES, " " * len(MARKS + SYMBOLS + SPACES))), " +"), "")
-    lists = F.create_map(*[x for lang, words in COMMON_WORDS.items() for x in (F.lit(lang), F.array(*map(F.lit, words)))])
-    rows = rows.withColumn("_plain", plain).withColumn("_list", F.coalesce(F.try_element_at(lists, F.coalesce("lang", F.lit(""))), F.array().cast("array<string>")))
-    rows = rows.withColumn("_common", F.filter("_plain", lambda w: F.array_contains("_list", w)))
-    counts = F.transform("_list", lambda c: (F.size("_common") - F.size(F.array_remove("_common", c))).cast("long"))
+    # most characters are small letters; the others are counted in what is left
+    rows = rows.withColumn("_lines", lines).withColumn("_rest", F.translate("text", SMALL, ""))
+    counts = {"capital": _count_in(F.col("_rest"), CAPITAL), "digit": _count_in(F.col("_rest"), DIGITS), "space": _count_in(F.col("_rest"), SPACES), "mark": _count_in(F.col("_rest"), MARKS), "symbol": _count_in(F.col("_rest"), SYMBOLS)}
+    rows = rows.withColumns({f"_{k}": c for k, c in counts.items()}).withColumn("_left", F.length("_rest"))
+    other = F.col("_left") - sum((F.col(f"_{k}") for k in counts), F.lit(0))
+    # the words of the language's list, among words that are in any list
+    every = sorted({w for words in COMMON_WORDS.values() for w in words})
+    lists = F.create_map(*[x for lang, words in COMMON_WORDS.items() for x in (F.lit(lang), F.array(*[F.xxhash64(F.lit(w)) for w in words]))])
+    rows = rows.withColumn("_list", F.coalesce(F.try_element_at(lists, F.coalesce("lang", F.lit(""))), no_longs))
+    rows = rows.withColumn("_common", F.filter("_hashes", lambda h: h.isin(*[F.xxhash64(F.lit(w)) for w in every])))
+    rows = rows.withColumn("_counts", F.transform("_list", lambda c: (F.size("_common") - F.size(F.array_remove("_common", c))).cast("long")))
+    rest = F.col("n_words") - F.aggregate("_counts", F.lit(0).cast("long"), lambda x, y: x + y)
     return rows.select(
         "doc_id",
         "lang",
         "n_words",
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
+        (F.length("text") - F.col("_space")).cast("long").alias("word_chars"),
         F.col("_symbol").cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated.alias("n_repeat_words"),
+        "n_repeat_words",
         F.length("text").cast("long").alias("n_chars"),
-        F.transform(F.array(*classes, other), lambda c: c.cast("long")).alias("classes"),
-        F.concat(counts, F.array((F.size("_plain") - F.size("_common")).cast("long"))).alias("common"),
+        F.transform(F.array(F.length("text") - F.col("_left"), *[F.col(f"_{k}") for k in counts], other), lambda c: c.cast("long")).alias("classes"),
+        F.concat("_counts", F.array(rest)).alias("common"),
     )
 
 
