@@ -22,22 +22,27 @@ from pyspark.sql import types as T
 from brindle.llm.conv_classifier import bucket
 from brindle.llm.hashing import NO_LETTER, by_text
 
-CONTENT_SIZE, META_SIZE, NAMES = 1 << 14, 32 + 256, 256
+HASHED, SHAPES, META_SIZE, NAMES = 1 << 14, 16, 32 + 256, 256
+CONTENT_SIZE = HASHED + SHAPES
 
 
 def content_features(texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text: hashed features and their normalised log counts."""
+    """Per text: hashed features with their normalised log counts, and how
+    repetitive its words are."""
     out = []
     letters = by_text([(t or "").lower() for t in texts], NO_LETTER)
     others = by_text([(t or "").replace(" ", "") for t in texts], ~NO_LETTER)
-    half = np.uint64(CONTENT_SIZE // 2)
+    half = np.uint64(HASHED // 2)
     for words, runs in zip(letters, others, strict=True):
         rows, counts = np.unique(np.concatenate([words % half, runs % half + half]), return_counts=True)
         values = np.log1p(counts)
         # both halves of one weight, so that long texts do not drown the marks
         for side in (rows < half, rows >= half):
             values[side] /= max(1e-9, np.linalg.norm(values[side]))
-        out.append((rows.astype(np.int32), values.astype(np.float32)))
+        # how much of the text its commonest word makes up, in steps of a tenth
+        top = np.unique(words, return_counts=True)[1].max() / len(words) if len(words) else 0.0
+        shape = HASHED + (min(9, int(top * 10)) if len(words) >= 20 else 10)
+        out.append((np.append(rows, shape).astype(np.int32), np.append(values, 1.0).astype(np.float32)))
     return out
 
 
