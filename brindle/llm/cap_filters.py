@@ -34,33 +34,49 @@ def _joint_tail(t: float, cosine: float) -> float:
     return float(np.sum((y[1:] + y[:-1]) / 2) * (x[1] - x[0]))
 
 
-def plan_filters(n: int, dim: int, threshold: float, expected: float = 9.0, bucket: int = 128, blocks: int = 3) -> dict:
+def plan_filters(n: int, dim: int, threshold: float, expected: float = 14.0, bucket: int = 128, codes: int = 12, most_words: int = 2048) -> dict:
     """Cap height and code sizes for n vectors of dim coordinates.
 
     The cap is so high that a filter holds about ``bucket`` unrelated vectors,
     and filters are so many that a pair at the threshold passes ``expected`` of
     them together (missing all: about exp(-expected)). Both follow n by one
     formula at every size, so recall stays and the work per vector does too.
+    The filters of one product code are not independent directions, so they are
+    dealt to several codes of their own rotation and words, each with as few
+    blocks as keep its words per block at ``most_words``.
     """
-    blocks = max(1, min(blocks, dim))
     share = min(0.2, bucket / max(n, 1))
     low, high = 0.0, 12.0
     for _ in range(60):
         t = (low + high) / 2
         low, high = (t, high) if _tail(t) > share else (low, t)
-    filters = expected / _joint_tail(low, threshold)
-    return {"dim": dim, "blocks": blocks, "words": max(2, math.ceil(filters ** (1 / blocks))), "height": low / math.sqrt(dim)}
-
-
-def _code(plan: dict):
-    rng = np.random.default_rng([SEED, plan["dim"]])
-    rotation, _ = np.linalg.qr(rng.standard_normal((plan["dim"], plan["dim"])))
-    words = []
-    for part in np.array_split(np.arange(plan["dim"]), plan["blocks"]):
-        w = rng.standard_normal((plan["words"], len(part)))
-        # by its share of the coordinates, so that a whole direction is a unit vector
-        words.append((part, (w / np.linalg.norm(w, axis=1, keepdims=True)) * math.sqrt(len(part) / plan["dim"])))
-    return rotation, words
+    filters = expected / _joint_tail(low, threshold) / codes
+    blocks = max(1, min(dim, math.ceil(math.log(max(filters, 2)) / math.log(most_words))))
+    return {"dim": dim, "codes": codes, "blocks": blocks, "words": max(2, math.ceil(filters ** (1 / blocks))), "height": low / math.sqrt(dim)}
+
+
+def _codes(plan: dict) -> list[tuple]:
+    """(rotation, [(coordinates, code words)]) of each product code."""
+    out = []
+    for k in range(plan["codes"]):
+        rng = np.random.default_rng([SEED, plan["dim"], k])
+        rotation, _ = np.linalg.qr(rng.standard_normal((plan["dim"], plan["dim"])))
+        words = []
+        for part in np.array_split(np.arange(plan["dim"]), plan["blocks"]):
+            w = rng.standard_normal((plan["words"], len(part)))
+            # by its share of the coordinates, so that a whole direction is a unit vector
+            words.append((part, (w / np.linalg.norm(w, axis=1, keepdims=True)) * math.sqrt(len(part) / plan["dim"])))
+        out.append((rotation, words))
+    return out
+
+
+def _passed(x: np.ndarray, plan: dict, codes: list[tuple]) -> np.ndarray:
+    """Ascending numbers of all filters, of all codes, that a unit vector passes."""
+    per_code, found = plan["words"] ** plan["blocks"], []
+    for k, (rotation, words) in enumerate(codes):
+        y = rotation @ x
+        found.append(_decode([w @ y[part] for part, w in words], plan["height"]) + k * per_code)
+    return np.concatenate(found)
 
 
 def _decode(scores: list[np.ndarray], height: float) -> np.ndarray:
@@ -76,7 +92,7 @@ def _decode(scores: list[np.ndarray], height: float) -> np.ndarray:
 
 
 def _assign(plans: dict[int, dict]):
-    codes: dict[int, tuple] = {}
+    codes: dict[int, list] = {}
 
     def assign(batches):
         for frame in batches:
@@ -85,10 +101,10 @@ def _assign(plans: dict[int, dict]):
                 x = np.asarray(values, dtype=np.float64)
                 plan = plans[len(x)]
                 if len(x) not in codes:
-                    codes[len(x)] = _code(plan)
-                rotation, words = codes[len(x)]
-                y = rotation @ (x / np.linalg.norm(x))
-                passed = _decode([w @ y[part] for part, w in words], plan["height"])
+                    codes[len(x)] = _codes(plan)
+                x = x / np.abs(x).max()  # so that squares neither overflow nor vanish
+                x = x / np.linalg.norm(x)
+                passed = _passed(x, plan, codes[len(x)])
                 rows.append((key, weight, len(x), x.tobytes(), passed.tobytes(), passed))
             yield pd.DataFrame(rows, columns=["rep", "weight", "dim", "x", "passed", "filter"])
 
@@ -143,7 +159,7 @@ def summarise(ids, weights, others, other_weights, i, j, same: bool) -> pd.DataF
     return pd.DataFrame({"rep": all_ids[linked], "links": links[linked].astype("int64"), "root": root[linked]})
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 1024, expected: float = 9.0) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 1024, expected: float = 14.0) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding)``: vec_id, n_links,
     component_id, kept; other columns are ignored.
 
