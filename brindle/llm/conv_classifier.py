@@ -57,7 +57,7 @@ class ConvClassifier:
     def _pooled(self, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
         """Maxima over the text of all filters, and where they lie."""
         pad = max(WIDTHS) - 1
-        x = np.zeros((len(ids) + pad, self.size), dtype=np.float32)  # zeros after the text
+        x = np.zeros((max(len(ids), 1) + pad, self.size), dtype=np.float32)  # zeros after the text
         x[: len(ids)] = self.table[ids[:, 0]] + self.table[ids[:, 1]]
         best, places = [], []
         n = max(len(ids), 1)
