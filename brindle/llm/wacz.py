@@ -14,6 +14,7 @@ import base64
 import contextlib
 import hashlib
 import json
+import math
 import struct
 import uuid
 import zipfile
@@ -161,7 +162,7 @@ def _writer(folder: str):
                     lines.writelines(index)
                 archive.writestr(PACKAGE, json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [{"path": MEMBER}, {"path": INDEX}]}))
         if n:
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [n]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [n], "bytes": [at]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
     return write
 
@@ -189,7 +190,7 @@ class _Counted:
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000) -> DataFrame:
     """Write a record per row of ``pages(page_id, url, html)`` and return the
-    manifest (path, records), materialised.
+    manifest (path, records, bytes of records), materialised.
 
     The payload is the html in UTF-8, empty for null. Of rows with equal
     payloads of at least ``least_bytes`` bytes, those with the largest page_id
@@ -207,7 +208,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000) -> Da
         "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"),
     )
-    return cut(rows.mapInArrow(_writer(folder), "path string, records long"))
+    return cut(rows.mapInArrow(_writer(folder), "path string, records long, bytes long"))
 
 
 # ---- reading --------------------------------------------------------------
@@ -275,7 +276,7 @@ def _range_reader(with_payload: bool):
     return read
 
 
-def read_archives(manifest: DataFrame, with_payload: bool = False, chunk_bytes: int = 4 << 20) -> DataFrame:
+def read_archives(manifest: DataFrame, with_payload: bool = False, chunk_bytes: int = 4 << 20, task_bytes: int = 64 << 20) -> DataFrame:
     """One row per record of the archives that ``manifest(path)`` names:
     page_id, url, payload_bytes, payload_digest, record_type, refers_to and,
     if asked for, payload (null for revisits).
@@ -283,10 +284,17 @@ def read_archives(manifest: DataFrame, with_payload: bool = False, chunk_bytes:
     First the directories and indexes give each record's place; then tasks
     read ranges, each record checked against its digest. The work is dealt by
     stretches of ``chunk_bytes`` of an archive, so a large archive is read by
-    many tasks. An empty manifest gives no rows.
+    many tasks. Where the manifest has ``bytes``, there is a task for every
+    ``task_bytes`` of records, and no fewer than the cluster runs at once: the
+    rows that are dealt are small, so Spark would join their partitions. An
+    empty manifest gives no rows.
     """
     places = manifest.select("path").mapInArrow(_locate, "path string, offset long, length long")
-    places = places.repartition("path", F.floor(F.col("offset") / chunk_bytes)).sortWithinPartitions("path", "offset")
+    by = ["path", F.floor(F.col("offset") / chunk_bytes)]
+    if "bytes" in manifest.columns:
+        total = manifest.agg(F.sum("bytes")).first()[0] or 0
+        by.insert(0, max(manifest.sparkSession.sparkContext.defaultParallelism, math.ceil(total / task_bytes)))
+    places = places.repartition(*by).sortWithinPartitions("path", "offset")
     names = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return places.mapInArrow(_range_reader(with_payload), names + (", payload binary" if with_payload else ""))
 
