@@ -73,6 +73,19 @@ def test_jensen_shannon(spark):
     assert got[:3] == pytest.approx([js(*r) for r in rows[:3]], abs=1e-9) and got[3] is None
 
 
+def test_gibberish_is_rejected_by_its_common_words_alone(spark):
+    rng = np.random.default_rng(5)
+    common, nouns = divergence.COMMON_WORDS["en"], [f"{a}{b}{c}" for a in ("tra", "mo", "shel") for b in ("ven", "lid", "par") for c in ("ing", "er", "ton")]
+    prose = [" ".join(rng.choice(common if rng.random() < 0.25 else nouns) for _ in range(150)) for _ in range(60)]
+    gibberish = [" ".join("".join(rng.permutation(list(w))) for w in rng.choice(nouns, 150)) for _ in range(5)]
+    rows = [(k, t, "en") for k, t in enumerate(prose + gibberish)] + [(-1, gibberish[0], "xx")]
+    got = {r["doc_id"]: r for r in divergence.quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[k]["kept"] and got[k]["common_distance"] < 0.7 for k in range(60))
+    for k in range(60, 65):
+        assert not got[k]["base_failed"] and got[k]["class_distance"] < 0.3 and got[k]["common_distance"] == 1 and not got[k]["kept"]
+    assert got[-1]["common_distance"] is None
+
+
 # ---- mixing
 
 
