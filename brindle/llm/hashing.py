@@ -102,20 +102,27 @@ def _long_words(data: bytes, separators: np.ndarray, prefix: int):
 
 
 def _one_long_word(data: bytes, separators: np.ndarray, prefix: int):
-    """Words of bytes whose separators are too rare to cut at: each word's
-    first and last megabyte and length stand for it."""
+    """Words of bytes whose separators are too rare to cut at: each word is
+    hashed in pieces of a megabyte, to the hash that span_hashes gives."""
     raw = np.frombuffer(data, dtype=np.uint8)
     inside = np.concatenate(([False], ~separators[raw], [False]))
     turns = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = turns[0::2], turns[1::2]
-    hashes, heads = [], []
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        short = data[a:b] if b - a <= 2 * _PIECE else data[a : a + _PIECE] + data[b - _PIECE : b]
-        part = words_of(short + b"\n", separators, prefix)
-        hashes.append(part[2][0] if b - a <= 2 * _PIECE else mix(part[2][:1] + np.uint64(b - a))[0])
-        heads.append(part[3][0] if prefix else 0)
-    out = [starts, ends, np.array(hashes, dtype=np.uint64)]
-    return (*out, np.array(heads, dtype=np.uint64)) if prefix else tuple(out)
+    hashes = np.array([_long_hash(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
+    if not prefix:
+        return starts, ends, mix(hashes)
+    heads = np.array([_long_hash(raw[a : min(b, a + prefix)]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
+    return starts, ends, mix(hashes), mix(mix(heads) + np.uint64(77))
+
+
+def _long_hash(word: np.ndarray) -> int:
+    """The rolling sum of a word's bytes plus its length, piece by piece."""
+    total = len(word)
+    for at in range(0, len(word), _PIECE):
+        part = word[at : at + _PIECE]
+        piece = int(np.sum(_BYTE[part] * _power("up", _BASE, len(part))[: len(part)]))
+        total += piece * pow(int(_BASE), at, 2**64)
+    return total % 2**64
 
 
 def by_text(texts: list[str | None], separators: np.ndarray = SPACE, prefix: int = 0) -> Iterator[tuple]:

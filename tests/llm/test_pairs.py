@@ -7,6 +7,7 @@ import numpy as np
 
 from brindle.llm import cap_filters, lsh_forest
 from brindle.llm.common import block_pairs, components, gapless
+from brindle.llm.hashing import by_text, span_hashes
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, extra string, rep int"
@@ -80,6 +81,22 @@ def test_jaccard_nulls_repeats_and_empty_tables(spark):
     assert lsh_forest.jaccard_classes(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_long_words_are_hashed_whole(spark):
+    word = "x" * 5_000_000
+    other = word[:2_500_000] + "y" + word[2_500_001:]
+    inner = [f"a {'z' * 1_500_000}{c}{'z' * 1_500_000} b {'q' * 3_000_000}" for c in "12"]
+    a, b, c, d = by_text([word, other, *inner])
+    assert a[0] != b[0] and c[1] != d[1] and list(c[[0, 2, 3]]) == list(d[[0, 2, 3]])
+    for text, hashes in ((word, a), (inner[0], c)):
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        at = [m.span() for m in re.finditer(r"\S+", text)]
+        assert list(span_hashes(raw, np.array([x for x, _ in at]), np.array([y for _, y in at]))) == list(hashes)
+    heads = [h[1] for h in by_text([word, "x" * 9], prefix=4)]
+    assert heads[0][0] == heads[1][0]
+    got = lsh_forest.jaccard_classes(spark.createDataFrame([(1, word, None, None), (2, other, None, None), (3, word, None, None)], DOCS)).collect()
+    assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in got} == {1: (1, 1), 2: (0, 2), 3: (1, 1)}
+
+
 def test_prefixes_shorten_until_the_target():
     depth = lsh_forest.matched_depth(24, 8, 0.8, 0.999)
     assert lsh_forest.recall_at(depth, 24, 0.8) >= 0.999 > lsh_forest.recall_at(depth + 1, 24, 0.8)
