@@ -43,19 +43,20 @@ def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
     return have
 
 
-def pieces(texts: list[str | None], limit: int = _PIECE) -> Iterator[tuple[int, int, bytes]]:
+def pieces(texts: list[str | None], limit: int = _PIECE, border: bytes = b"\n") -> Iterator[tuple[int, int, bytes]]:
     """(first, last + 1, joined bytes) for runs of texts of about ``limit``
-    bytes; a longer text is a run of its own."""
+    bytes, each text ended by the byte ``border``; a longer text is a run of
+    its own."""
     run, size, first = [], 0, 0
     for i, text in enumerate(texts):
         data = (text or "").encode("utf-8", "replace")
         if run and size + len(data) > limit:
-            yield first, i, b"\n".join(run) + b"\n"
+            yield first, i, border.join(run) + border
             run, size, first = [], 0, i
         run.append(data)
         size += len(data) + 1
     if run:
-        yield first, len(texts), b"\n".join(run) + b"\n"
+        yield first, len(texts), border.join(run) + border
 
 
 def words_of(data: bytes, separators: np.ndarray = SPACE, prefix: int = 0):
@@ -126,8 +127,10 @@ def _long_hash(word: np.ndarray) -> int:
 
 
 def by_text(texts: list[str | None], separators: np.ndarray = SPACE, prefix: int = 0) -> Iterator[tuple]:
-    """For each text, in order, the hashes of its words (and prefixes)."""
-    for first, last, data in pieces(texts):
+    """For each text, in order, the hashes of its words (and prefixes); texts
+    are parted by a separator, so that no word crosses their border."""
+    border = bytes([10 if separators[10] else int(np.flatnonzero(separators)[0])])
+    for first, last, data in pieces(texts, border=border):
         found = words_of(data, separators, prefix)
         if last - first == 1:
             yield found[2:] if prefix else found[2]

@@ -69,6 +69,16 @@ def test_toxicity_without_labels(spark, tables):
     assert conv_classifier.score_toxicity(tables[2].limit(0), model).count() == 0
 
 
+def test_quality_features_do_not_depend_on_the_neighbours():
+    texts = ["a b!", "# Title 1", "1. one", "123 ...", "", None, "<html> x", "word", "?!"]
+    together = cotrain.content_features(texts)
+    for text, (rows, values) in zip(texts, together, strict=True):
+        alone = cotrain.content_features([text])[0]
+        assert list(rows) == list(alone[0]) and list(values) == list(alone[1])
+    # a hash of the marks and one of the shape, even where a text has no letter
+    assert [len(rows) for rows, _ in cotrain.content_features(["word", "?!", "word ?!"])] == [2, 2, 3]
+
+
 def test_quality_on_held_out_rows(spark, tables):
     docs, labels, df, known = tables
     model = cotrain.fit_quality(df, known)
