@@ -211,7 +211,12 @@ def graph_decision_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("graph_merge_chains")
 def graph_merge_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.merge_chains(_roads(spark, sf_dir))
+    """Over all line items, each an edge of its part and a supplier's number."""
+    return graph.merge_chains(
+        table(spark, sf_dir, "lineitem").select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), F.col("l_partkey").alias("src"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("dst"), F.col("l_quantity").alias("length"), F.col("l_returnflag").alias("fc"), F.col("l_linestatus").alias("ref")
+        )
+    )
 
 
 # ---- rankings -------------------------------------------------------------

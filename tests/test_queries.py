@@ -1,6 +1,7 @@
 """Every registered query of the library against its SQL on the smallest tables."""
 
 import math
+import random
 from pathlib import Path
 
 import duckdb
@@ -46,3 +47,27 @@ def test_query(spark, oracle, name):
         assert got == sorted(tuple(map(plain, (row[k] for k in order))) for row in relation.fetchall())
     else:
         assert got
+
+
+def test_chains_are_merged_over_all_line_items(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(k, 1, rng.randrange(1, 700), rng.randrange(1, 700), float(rng.randrange(1, 50)), "N", "O") for k in range(1, 701)]
+    columns = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    touching = {}
+    for k, line, part, supplier, *_ in rows:
+        for node in (part, supplier + line):
+            touching.setdefault(node, []).append(k * 10 + line)
+    length = {k * 10 + line: quantity for k, line, _, _, quantity, *_ in rows}
+    root = {e: e for e in length}
+    for edges in touching.values():
+        if len(edges) == 2 and edges[0] != edges[1]:
+            a, b = sorted(root[e] for e in edges)
+            root = {e: a if r == b else r for e, r in root.items()}
+    want = {}
+    for e, r in root.items():
+        members, total = want.get(r, (0, 0.0))
+        want[r] = (members + 1, total + length[e])
+    assert any(members > 2 for members, _ in want.values()) and max(want) > 4000
+    got = catalog.QUERIES["graph_merge_chains"](spark, str(tmp_path)).collect()
+    assert {r["logical"]: (r["members"], r["length"]) for r in got} == want
