@@ -6,7 +6,11 @@ from __future__ import annotations
 
 import math
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``,
-    or, where that is unset (tests on one machine), a temporary folder."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    Only where that is unset and the master is local, as in tests, a temporary
+    folder is taken."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="brindle-shared-")
     if context.getCheckpointDir() is None:
-        folder = folder or tempfile.mkdtemp(prefix="brindle-shared-")
         context.setCheckpointDir(folder)
-    return folder or context.getCheckpointDir()
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -69,20 +77,34 @@ def block_pairs(df: DataFrame, group: list[str], item: str, blocks: Column) -> D
     return dealt.withColumn("_lo", F.least("_block", "_other")).withColumn("_hi", F.greatest("_block", "_other")).drop("_other", "_blocks")
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: list[str], rows: int, how: str = "inner", salts: int = 32) -> DataFrame:
+    """Join on ``keys``, of which ``small`` has each once. A key with more than
+    a thousandth of the ``rows`` of ``big`` (of such there are fewer than a
+    thousand, so they are broadcast) is dealt by a hash of ``salt_by``."""
+    if rows < 4096:  # few for any task
+        return big.join(small, keys, how)
+    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(64, rows // 1000)).select(*keys, F.lit(True).alias("_hot"))
+    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    copies = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(u, v)`` of longs: one row (node, component)
-    per node that is no component's smallest; ``component`` is the smallest
-    node reachable. Alternates large-star and small-star steps, whose number
-    grows with the logarithm of the longest path, until nothing changes."""
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    edges = cut(edges)
+    """Connected components of ``edges(u, v)``, longs or structs of longs: one
+    row (node, component) per node that is no component's smallest;
+    ``component`` is the smallest node reachable. Alternates large-star and
+    small-star steps, whose number grows with the logarithm of the longest
+    path, until nothing changes. Nodes of many edges are salted."""
+    edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     mark = _mark(edges)
     while mark[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        # what hangs on v hangs on the least that v hangs on
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        large = salted_join(edges, least.withColumnRenamed("u", "v"), ["v"], ["u"], mark[0], "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        # all that u hangs on, and u, hang on the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = salted_join(large, least, ["u"], ["v"], mark[0])
+        small = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = cut(small.select("e.u", "e.v").filter("u <> v").distinct())
         before, mark = mark, _mark(edges)
         if mark == before:
@@ -93,3 +115,83 @@ def components(edges: DataFrame) -> DataFrame:
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     return row["n"], row["x"]
+
+
+def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of one key after another, from batches sorted by ``keys``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)) for k in keys]
+        turns = np.zeros(n - 1, dtype=bool)
+        for c in columns:
+            turns |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(turns) + 1).tolist(), n]
+        goes_on = held and all(c[0] == held[-1].column(k)[0] for c, k in zip(columns, keys, strict=True))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and not (a == 0 and goes_on):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For n nodes with edges (i, j), the least node reachable from each."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        root = root[root]
+        if (before == root).all():
+            return root
+
+
+NODE = "struct<rep:bigint,tag:bigint>"
+
+
+def node(rep: str = "rep", tag: str = "tag") -> Column:
+    """A distinct item: the smallest id that holds it, and a hash of it, which
+    tells items of one id apart. Ordered by id."""
+    return F.struct(F.col(rep).alias("rep"), F.col(tag).alias("tag"))
+
+
+def block_links(sides: list[dict], i: np.ndarray, j: np.ndarray, same: bool) -> pa.RecordBatch:
+    """Links (i, j) of a block pair, as one row per linked item: the weight of
+    what it links to, and the least item that these links join it to. A side
+    has arrays ``rep``, ``tag`` and ``weight``."""
+    if same:
+        side = sides[0]
+    else:
+        side = {k: np.concatenate([s[k] for s in sides]) for k in ("rep", "tag", "weight")}
+        j = j + len(sides[0]["rep"])
+    n = len(side["rep"])
+    links = np.bincount(i, weights=side["weight"][j], minlength=n) + np.bincount(j, weights=side["weight"][i], minlength=n)
+    order = np.lexsort((side["tag"], side["rep"]))
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    root = order[roots(n, place[i], place[j])][place]
+    at = np.flatnonzero(links)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x) for x in (side["rep"][at], side["tag"][at], links[at].astype("int64"), side["rep"][root[at]], side["tag"][root[at]])], ["rep", "tag", "links", "root_rep", "root_tag"]
+    )
+
+
+LINKS = "rep long, tag long, links long, root_rep long, root_tag long"
+
+
+def link_classes(items: DataFrame, found: DataFrame) -> DataFrame:
+    """``items(rep, tag, weight, ...)`` with n_links and class_id from the block
+    links ``found``: other rows linked directly, own copies included, and the
+    smallest id reachable."""
+    found = cut(found.groupBy("rep", "tag", "root_rep", "root_tag").agg(F.sum("links").alias("links")))
+    classes = components(found.select(node().alias("u"), node("root_rep", "root_tag").alias("v")))
+    classes = classes.select("node.rep", "node.tag", F.col("component.rep").alias("_class"), F.col("component.tag").alias("_class_tag"))
+    links = found.groupBy("rep", "tag").agg(F.sum("links").alias("_links"))
+    out = items.join(links, ["rep", "tag"], "left").join(classes, ["rep", "tag"], "left")
+    out = out.withColumn("n_links", F.coalesce("_links", F.lit(0)) + F.col("weight") - 1).withColumn("class_id", F.coalesce("_class", "rep"))
+    return out.withColumn("is_root", F.col("_class").isNull()).drop("_links", "_class", "_class_tag")
