@@ -5,8 +5,8 @@ rotated) space is cut into a few blocks of coordinates, each block has its own
 random unit code words, and a filter is one code word of each block. A vector
 passes a filter if its cosine with the direction is at least a cap height. All
 filters that a vector passes are list-decoded block by block, pruning on the
-best that the remaining blocks can add. Vectors meet in a join on filters and
-every pair that meets is verified in double precision.
+best that the remaining blocks can add. Short sketches of the vectors meet in a
+join on filters; what they join is verified in double precision.
 """
 
 from __future__ import annotations
@@ -14,11 +14,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import block_pairs, components, cut
+from brindle.llm.common import LINKS, block_links, block_pairs, by_key, components, cut, link_classes, node, roots, salted_join
 
 SEED = 5
 
@@ -70,93 +71,160 @@ def _codes(plan: dict) -> list[tuple]:
     return out
 
 
-def _passed(x: np.ndarray, plan: dict, codes: list[tuple]) -> np.ndarray:
-    """Ascending numbers of all filters, of all codes, that a unit vector passes."""
-    per_code, found = plan["words"] ** plan["blocks"], []
+def _decode(scores: list[np.ndarray], height: float) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, filter) of all filters whose block scores add up to height or
+    more; ``scores`` has, per block, a row per vector and a column per word."""
+    best_rest = np.cumsum([s.max(axis=1) for s in scores][::-1], axis=0)[::-1]
+    best_rest = np.concatenate([best_rest[1:], np.zeros((1, len(scores[0])))])
+    vector, number, total = np.arange(len(scores[0])), np.zeros(len(scores[0]), dtype=np.int64), np.zeros(len(scores[0]))
+    for s, rest in zip(scores, best_rest, strict=True):
+        step, found = max(1, 4_000_000 // s.shape[1]), []
+        for a in range(0, len(vector), step):
+            v = vector[a : a + step]
+            sums = total[a : a + step, None] + s[v]
+            i, j = np.nonzero(sums >= height - rest[v][:, None])
+            found.append((v[i], number[a : a + step][i] * s.shape[1] + j, sums[i, j]))
+        vector, number, total = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (vector, number, total)
+    return vector, number
+
+
+def _passed(x: np.ndarray, plan: dict, codes: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """(vector, filter) of all filters, of all codes, that unit vectors pass."""
+    per_code, vectors, filters = plan["words"] ** plan["blocks"], [], []
     for k, (rotation, words) in enumerate(codes):
-        y = rotation @ x
-        found.append(_decode([w @ y[part] for part, w in words], plan["height"]) + k * per_code)
-    return np.concatenate(found)
+        y = x @ rotation.T
+        v, f = _decode([y[:, part] @ w.T for part, w in words], plan["height"])
+        vectors.append(v)
+        filters.append(f + k * per_code)
+    return np.concatenate(vectors), np.concatenate(filters)
 
 
-def _decode(scores: list[np.ndarray], height: float) -> np.ndarray:
-    """Numbers of all filters whose block scores add up to height or more."""
-    best_rest = np.cumsum([s.max() for s in scores][::-1])[::-1]
-    best_rest = np.append(best_rest[1:], 0.0)
-    number, total = np.zeros(1, dtype=np.int64), np.zeros(1)
-    for s, rest in zip(scores, best_rest, strict=True):
-        sums = total[:, None] + s[None, :]
-        i, j = np.nonzero(sums >= height - rest)
-        number, total = number[i] * len(s) + j, sums[i, j]
-    return np.sort(number)
+SKETCHED = 64  # coordinates of a sketch at most
+
+
+def _sketch_basis(dim: int) -> np.ndarray:
+    """Rotation, or above 64 coordinates a projection, before rounding: it
+    spreads a vector's length over all coordinates, whatever the vector."""
+    rng = np.random.default_rng([SEED, dim, 999])
+    if dim <= SKETCHED:
+        return np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+    return rng.standard_normal((dim, SKETCHED)) / math.sqrt(SKETCHED)
+
+
+def _sketch_step(dim: int) -> float:
+    """Up to 32 coordinates are rounded to a byte, more to half a byte that
+    reaches 3.2 standard deviations."""
+    return 1 / 127 if dim <= 32 else 3.2 / 7 / math.sqrt(min(dim, SKETCHED))
+
+
+def sketch_floor(dim: int, threshold: float) -> float:
+    """6.5 standard deviations of a sketch's error below the threshold."""
+    rounding = math.sqrt(2 / 12) * _sketch_step(dim)
+    projecting = (1 - threshold * threshold) / math.sqrt(SKETCHED) if dim > SKETCHED else 0.0
+    return threshold - 6.5 * math.hypot(rounding, projecting)
+
+
+def sketches(x: np.ndarray) -> np.ndarray:
+    """At most 32 bytes per unit vector (row), from which cosines can be guessed."""
+    dim = x.shape[1]
+    y = np.rint((x @ _sketch_basis(dim)) / _sketch_step(dim))
+    if dim <= 32:
+        return np.clip(y, -127, 127).astype(np.int8).view(np.uint8)
+    half = (np.clip(y, -7, 7) + 8).astype(np.uint8)
+    if half.shape[1] % 2:
+        half = np.concatenate([half, np.full((len(half), 1), 8, np.uint8)], axis=1)
+    return half[:, 0::2] * np.uint8(16) + half[:, 1::2]
+
+
+def read_sketches(raw: np.ndarray, dim: int) -> np.ndarray:
+    """Unit vectors near those that were sketched."""
+    if dim <= 32:
+        y = raw.view(np.int8).astype(np.float32)
+    else:
+        y = np.empty((len(raw), raw.shape[1] * 2), dtype=np.float32)
+        y[:, 0::2], y[:, 1::2] = raw >> 4, raw & 15
+        y -= 8
+    return y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9)
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """Rows of equal length as unit vectors in double precision."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+_DIM_SHIFT = 1 << 44
 
 
 def _assign(plans: dict[int, dict]):
-    codes: dict[int, list] = {}
+    made: dict[int, list] = {}
 
     def assign(batches):
-        for frame in batches:
-            rows = []
-            for key, weight, values in zip(frame["rep"], frame["weight"], frame["x"], strict=True):
-                x = np.asarray(values, dtype=np.float64)
-                plan = plans[len(x)]
-                if len(x) not in codes:
-                    codes[len(x)] = _codes(plan)
-                x = x / np.abs(x).max()  # so that squares neither overflow nor vanish
-                x = x / np.linalg.norm(x)
-                passed = _passed(x, plan, codes[len(x)])
-                rows.append((key, weight, len(x), x.tobytes(), passed.tobytes(), passed))
-            yield pd.DataFrame(rows, columns=["rep", "weight", "dim", "x", "passed", "filter"])
+        for batch in batches:
+            column = batch.column(2)
+            dims = pc.list_value_length(column).to_numpy()
+            for dim in np.unique(dims).tolist():
+                rows = batch.filter(pa.array(dims == dim))
+                if dim not in made:
+                    made[dim] = _codes(plans[dim])
+                for a in range(0, rows.num_rows, 512):
+                    part = rows.slice(a, 512)
+                    x = _matrix(part.column(2))
+                    vector, number = _passed(x, plans[dim], made[dim])
+                    drawn = sketches(x)
+                    payload = pa.FixedSizeBinaryArray.from_buffers(pa.binary(drawn.shape[1]), len(vector), [None, pa.py_buffer(np.ascontiguousarray(drawn[vector]).tobytes())]).cast(pa.binary())
+                    rep, tag = (part.column(k).to_numpy()[vector] for k in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(number + dim * _DIM_SHIFT), pa.array(rep), pa.array(tag), payload], ["filter", "rep", "tag", "sketch"])
 
     return assign
 
 
-def _verify(threshold: float):
-    def verify(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        number, low, high = int(key[1]), int(key[2]), int(key[3])
-        left, right = frame[frame["_block"] == low], frame[frame["_block"] == high]
-        x, y = (np.stack([np.frombuffer(b) for b in side["x"]]) if len(side) else np.zeros((0, 1)) for side in (left, right))
-        if not len(x) or not len(y):
-            return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-        i, j = np.nonzero(x @ y.T >= threshold)
-        if low == high:
-            i, j = i[i < j], j[i < j]
-        ids, other = left["rep"].to_numpy(), right["rep"].to_numpy()
-        if len(i):  # count a pair only at the smallest filter that both pass
-            mine, theirs = ([np.frombuffer(b, dtype=np.int64) for b in side["passed"]] for side in (left, right))
-            used_i, used_j = np.unique(i), np.unique(j)
-            rows = np.unique(np.concatenate([mine[a][mine[a] < number] for a in used_i] + [theirs[b][theirs[b] < number] for b in used_j]))
-            if len(rows):
-                m, t = (np.zeros((len(side), len(rows)), dtype=np.float32) for side in (left, right))
-                for a in used_i:
-                    m[a, np.searchsorted(rows, mine[a][mine[a] < number])] = 1
-                for b in used_j:
-                    t[b, np.searchsorted(rows, theirs[b][theirs[b] < number])] = 1
-                first = (m @ t.T)[i, j] == 0
-                i, j = i[first], j[first]
-        return summarise(ids, left["weight"].to_numpy(), other, right["weight"].to_numpy(), i, j, low == high)
+def _meet(threshold: float):
+    """Edges that join the vectors of a filter whose sketches are near; no more
+    than vectors."""
+    def meet(batches):
+        for group in by_key(batches, ["filter", "_lo", "_hi"]):
+            low, high, dim = group["_lo"][0].as_py(), group["_hi"][0].as_py(), group["filter"][0].as_py() // _DIM_SHIFT
+            block = group["_block"].to_numpy()
+            left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+            if not len(left) or not len(right) or (low == high and len(left) < 2):
+                continue
+            raw = np.frombuffer(b"".join(group["sketch"].to_pylist()), dtype=np.uint8).reshape(len(block), -1)
+            y = read_sketches(raw, dim)
+            i, j = np.nonzero(y[left] @ y[right].T >= sketch_floor(dim, threshold))
+            i, j = left[i], right[j]
+            if low == high:
+                i, j = i[i < j], j[i < j]
+            if not len(i):
+                continue
+            root = roots(len(block), i, j)
+            at = np.flatnonzero(root != np.arange(len(block)))
+            rep, tag = group["rep"].to_numpy(), group["tag"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rep[at], tag[at], rep[root[at]], tag[root[at]])], ["rep", "tag", "other_rep", "other_tag"])
 
-    return verify
+    return meet
 
 
-def summarise(ids, weights, others, other_weights, i, j, same: bool) -> pd.DataFrame:
-    """Links (i, j) of a block pair as one row per linked vector: how many rows
-    it links to, and the smallest id that these links join it to."""
-    n = len(ids)
-    if same:
-        all_ids, all_weights, a, b = ids, weights, i, j
-    else:
-        all_ids, all_weights, a, b = np.concatenate([ids, others]), np.concatenate([weights, other_weights]), i, j + n
-    links = np.bincount(a, weights=all_weights[b], minlength=len(all_ids)) + np.bincount(b, weights=all_weights[a], minlength=len(all_ids))
-    root = all_ids.copy()
-    while True:
-        before = root.copy()
-        np.minimum.at(root, a, root[b])
-        np.minimum.at(root, b, root[a])
-        if (before == root).all():
-            break
-    linked = links > 0
-    return pd.DataFrame({"rep": all_ids[linked], "links": links[linked].astype("int64"), "root": root[linked]})
+_BLOCK_PAIR = ["cand_rep", "cand_tag", "_lo", "_hi"]
+
+
+def _verify(threshold: float):
+    def verify(batches):
+        for group in by_key(batches, _BLOCK_PAIR):
+            low, high, block = group["_lo"][0].as_py(), group["_hi"][0].as_py(), group["_block"].to_numpy()
+            same = low == high
+            parts = [group.filter(pa.array(block == b)) for b in ([low] if same else [low, high])]
+            if not all(p.num_rows for p in parts) or (same and parts[0].num_rows < 2):
+                continue
+            units = [_matrix(p["x"].combine_chunks()) for p in parts]
+            i, j = np.nonzero(units[0] @ units[-1].T >= threshold)
+            if same:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                yield block_links([{k: p[k].to_numpy() for k in ("rep", "tag", "weight")} for p in parts], i, j, same)
+
+    return verify
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 1024, expected: float = 14.0) -> DataFrame:
@@ -166,29 +234,43 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 102
     Only vectors of one length are compared. Vectors that are null, empty,
     zero or hold null or non-finite components, and rows with a null vec_id,
     link with nothing: no links, their own component, kept. Equal vectors are
-    compared once and counted as often as they occur (repeated ids too). An
-    empty table gives an empty result. A filter of more than ``block`` vectors
-    is verified block pair by block pair, so no task holds a hot filter.
+    compared once and counted as often as they occur; rows of one id with
+    different vectors are compared like others, and each row has the links of
+    its own vector. An empty table gives an empty result. A filter, or a class
+    of candidates, of more than ``block`` vectors is treated block pair by
+    block pair, so no task holds a hot one.
+
+    What meets in a filter is a sketch of each vector; the vectors themselves
+    are verified once, among those that sketches join.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = vectors.select("vec_id", F.col("embedding").cast(kind).alias("embedding"))
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    rows = rows.withColumn("x", F.when(usable, F.col("embedding"))).drop("embedding")
+    rows = rows.withColumn("x", F.when(usable, F.col("embedding"))).select("vec_id", "x", F.xxhash64("x").alias("tag"), F.xxhash64(F.lit(1), "x").alias("tag2"))
     good = rows.filter(F.col("x").isNotNull())
-    reps = cut(good.groupBy("x").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")))
+    reps = good.groupBy("tag", "tag2").agg(F.min("vec_id").cast("long").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("x").alias("x"))  # by 128 bits of hash
+    reps = cut(reps.select("rep", "tag", "tag2", "weight", "x"))
     # one plan per vector length; lengths are the columns of the embedding models at hand, a handful
     sizes = {r["dim"]: r["n"] for r in reps.groupBy(F.size("x").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     plans = {d: plan_filters(n, d, threshold, expected) for d, n in sizes.items()}
-    entries = reps.mapInPandas(_assign(plans), "rep long, weight long, dim int, x binary, passed binary, filter array<long>")
-    entries = cut(entries.select("rep", "weight", "dim", "x", "passed", F.explode("filter").alias("filter")))
-    sizes_of = entries.groupBy("dim", "filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = block_pairs(entries.join(sizes_of, ["dim", "filter"]), ["dim", "filter"], "rep", F.ceil(F.col("n") / block))
-    found = met.groupBy("dim", "filter", "_lo", "_hi").applyInPandas(_verify(threshold), "rep long, links long, root long")
-    found = cut(found.groupBy("rep", "root").agg(F.sum("links").alias("links")))
-    classes = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per_rep = reps.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    per_rep = per_rep.select("x", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    done = good.join(per_rep, "x").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    entries = cut(reps.select("rep", "tag", "x").mapInArrow(_assign(plans), "filter long, rep long, tag long, sketch binary"))
+    large = entries.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("filter", F.ceil(F.col("n") / block).alias("blocks"))
+    large = F.broadcast(large) if large.limit(10_001).count() <= 10_000 else large
+    met = block_pairs(entries.join(large, "filter", "left"), ["filter"], "tag", F.coalesce("blocks", F.lit(1))).drop("blocks")
+    met = met.repartition("filter", "_lo", "_hi").sortWithinPartitions("filter", "_lo", "_hi")
+    edges = met.mapInArrow(_meet(threshold), "rep long, tag long, other_rep long, other_tag long")
+    near = components(edges.select(node().alias("u"), node("other_rep", "other_tag").alias("v")))
+    near = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct())
+    members = cut(near.select("node.rep", "node.tag", F.col("component.rep").alias("cand_rep"), F.col("component.tag").alias("cand_tag")))
+    sized = members.groupBy("cand_rep", "cand_tag").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    members = salted_join(members, sized, ["cand_rep", "cand_tag"], ["rep", "tag"], members.count()).join(reps.drop("tag2"), ["rep", "tag"])
+    pairs = block_pairs(members, ["cand_rep", "cand_tag"], "tag", F.col("blocks")).drop("blocks")
+    found = pairs.repartition(*_BLOCK_PAIR).sortWithinPartitions(*_BLOCK_PAIR).mapInArrow(_verify(threshold), LINKS)
+    per_rep = link_classes(reps.drop("x"), found).select("tag", "tag2", "n_links", F.col("class_id").alias("component_id"))
+    named = good.select("vec_id", "tag", "tag2")
+    done = salted_join(named, per_rep, ["tag", "tag2"], ["vec_id"], sum(sizes.values()))
+    done = done.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     alone = rows.filter(F.col("x").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     return done.unionByName(alone)

@@ -97,9 +97,40 @@ def test_long_words_are_hashed_whole(spark):
     assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in got} == {1: (1, 1), 2: (0, 2), 3: (1, 1)}
 
 
+def test_jaccard_counts_different_texts_of_one_id(spark):
+    rng = random.Random(8)
+    t, u = (" ".join(f"{c}{rng.randrange(500)}" for _ in range(80)) for c in "tu")
+    rows = [(1, t), (2, t + " q"), (2, u), (3, u + " r"), (5, u + " r s"), (2, u)]
+    docs = spark.createDataFrame([(i, x, "e", k) for k, (i, x) in enumerate(rows)], DOCS)
+    got = sorted((r["doc_id"], r["n_links"], r["class_id"]) for r in lsh_forest.jaccard_classes(docs).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (2, 3, 2), (2, 3, 2), (3, 3, 2), (5, 3, 2)]
+    kept = lsh_forest.drop_near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, t), (2, u)]
+    apart = spark.createDataFrame([(1, t, "e", 1), (1, u, "e", 1), (1, t + " q", "e", 1)], DOCS)
+    assert sorted(r["text"] for r in lsh_forest.drop_near_duplicates(apart).collect()) in ([t, u], sorted([t + " q", u]))
+
+
+def test_a_group_of_near_copies_over_many_ranges_and_blocks(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    texts = []
+    for k in range(150):
+        near = list(base)
+        near[rng.randrange(60)] = f"x{k % 40}"
+        texts.append(" ".join(near) + f" y{k % 3}" * (k % 2))
+    texts += [" ".join(f"w{rng.randrange(5000)}" for _ in range(50)) for _ in range(50)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "e", 1) for i, t in rows], DOCS)
+    got = lsh_forest.jaccard_classes(docs, range_rows=300, block_docs=16).collect()
+    assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in got} == brute_jaccard(rows)
+
+
 def test_prefixes_shorten_until_the_target():
-    depth = lsh_forest.matched_depth(24, 8, 0.8, 0.999)
-    assert lsh_forest.recall_at(depth, 24, 0.8) >= 0.999 > lsh_forest.recall_at(depth + 1, 24, 0.8)
+    least = lsh_forest.least_depth(24, 8, 0.8, 0.999)
+    assert lsh_forest.recall_at(least, 24, 0.8) >= 0.999 > lsh_forest.recall_at(least + 1, 24, 0.8)
+    # nothing met: the threshold decides; near copies met: no shortening; pairs at the threshold: shortening
+    assert lsh_forest.measured_recall({}, 8, 24, 0.8) < 0.999 <= lsh_forest.measured_recall({}, least, 24, 0.8)
+    assert lsh_forest.measured_recall({0.95: 1000}, 8, 24, 0.8) >= 0.999 > lsh_forest.measured_recall({0.95: 1000, 0.8: 1000}, 8, 24, 0.8)
 
 
 def vectors(n=500, dim=32, seed=1):
@@ -117,14 +148,51 @@ def test_embeddings_match_brute_force(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.9
     np.fill_diagonal(near, False)
+    group = classes(len(x), zip(*np.nonzero(near), strict=True))
     for block in (1024, 8):
         got = cap_filters.near_duplicates(df, block=block).orderBy("vec_id").collect()
-        found = np.array([r["n_links"] for r in got])
-        assert (found <= near.sum(axis=1)).all()
-        assert found.sum() >= 0.97 * near.sum()
-        if (found == near.sum(axis=1)).all():
-            group = classes(len(x), zip(*np.nonzero(near), strict=True))
-            assert [r["component_id"] for r in got] == [10 + g for g in group]
+        assert [r["n_links"] for r in got] == near.sum(axis=1).tolist()
+        assert [r["component_id"] for r in got] == [10 + g for g in group]
+        assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
+def test_embeddings_of_one_id(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (2, [0.0, 1.0]), (3, [0.01, 1.0]), (4, [-1.0, 0.0]), (4, [-1.0, 0.0])]
+    got = sorted(tuple(r) for r in cap_filters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (2, 1, 2, True), (3, 1, 2, False), (4, 1, 4, True), (4, 1, 4, True)]
+
+
+def test_sketches_stay_above_their_floor():
+    rng = np.random.default_rng(3)
+    for dim in (2, 7, 32, 33, 64, 65, 384):
+        for sparse in (False, True):
+            x = rng.standard_normal((4000, dim)) * ((rng.random((4000, dim)) < 2 / dim) if sparse else 1)
+            x[np.abs(x).sum(axis=1) == 0, 0] = 1
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            other = rng.standard_normal(x.shape)
+            other -= (other * x).sum(axis=1, keepdims=True) * x
+            other /= np.linalg.norm(other, axis=1, keepdims=True)
+            y = 0.9 * x + np.sqrt(1 - 0.81) * other
+            a, b = (cap_filters.read_sketches(cap_filters.sketches(v), dim) for v in (x, y))
+            guessed = (a * b).sum(axis=1)
+            assert guessed.min() > cap_filters.sketch_floor(dim, 0.9), (dim, sparse, guessed.min())
+
+
+def test_decoding_finds_all_filters():
+    rng = np.random.default_rng(4)
+    for blocks in (1, 2, 3):
+        plan = {"dim": 12, "codes": 2, "blocks": blocks, "words": 5, "height": 0.3}
+        codes = cap_filters._codes(plan)
+        x = rng.standard_normal((40, 12))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        got = set(zip(*map(np.ndarray.tolist, cap_filters._passed(x, plan, codes)), strict=True))
+        want = set()
+        for c, (rotation, words) in enumerate(codes):
+            for f in range(5**blocks):
+                digits = [f // 5 ** (blocks - 1 - b) % 5 for b in range(blocks)]
+                cosine = sum(x @ rotation.T[:, part] @ w[d] for (part, w), d in zip(words, digits, strict=True))
+                want |= {(v, f + c * 5**blocks) for v in np.flatnonzero(cosine >= 0.3).tolist()}
+        assert got == want
 
 
 def test_embeddings_edge_rows(spark):
