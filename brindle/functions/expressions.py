@@ -83,6 +83,45 @@ def entry(values: Column, key: Column) -> Column:
     return F.when(F.map_contains_key(values, key), F.try_element_at(values, key)).otherwise(F.raise_error(F.lit("no such key")))
 
 
+def input_value(inputs: Column, field: str, *path: str, loop: tuple[str, Column] | None = None) -> Column:
+    """$.field.a.b over a map of inputs: the variable of a foreach (name,
+    value) hides an input of its name; an input that is missing raises, and so
+    does a property of null or one that is not there. The values of a longer
+    path are JSON texts of objects."""
+    found = loop[1] if loop and loop[0] == field else entry_or(inputs, field, f"input parameter '{field}' not found")
+    return _walk(found, f"$.{field}", path)
+
+
+def step_value(outputs: Column, step: str, attribute: str, *path: str) -> Column:
+    """step.attribute.a.b over a map of a step's outputs: an attribute that is
+    missing or null raises."""
+    name = f"{step}.{attribute}"
+    found = entry_or(outputs, attribute, f"{name} not found")
+    return _walk(F.when(found.isNull(), F.raise_error(F.lit(f"{name} is null"))).otherwise(found), name, path)
+
+
+def entry_or(values: Column, key: str, message: str) -> Column:
+    return F.when(F.map_contains_key(values, key), F.try_element_at(values, F.lit(key))).otherwise(F.raise_error(F.lit(message)))
+
+
+def _walk(value: Column, name: str, path: tuple[str, ...]) -> Column:
+    for part in path:
+        fields = F.from_json(value, "map<string,string>")
+        inner = entry_or(fields, part, f"{name} has no property '{part}'")
+        value = F.when(value.isNull(), F.raise_error(F.lit(f"property '{part}' of null {name}"))).otherwise(inner)
+        name = f"{name}.{part}"
+    return value
+
+
+def list_literal(*items: Column) -> Column:
+    return F.array(*items)
+
+
+def map_literal(pairs: list[tuple[str, Column]]) -> Column:
+    """A map; of a key given twice the last value counts."""
+    return F.create_map(*[x for k, v in dict(pairs).items() for x in (F.lit(k), v)])
+
+
 def with_defaults(given: Column, defaults: dict[str, Column]) -> Column:
     """Fill parameters by presence, not nullness: a map of given arguments over
     a map of defaults. A given null stays null."""

@@ -47,24 +47,51 @@ def convert_distance(value: Column, from_unit: str, to_unit: str) -> Column:
     return value * (per[from_unit] / per[to_unit])
 
 
+#: What stands for a missing or zero time.
+NO_TIME = "\u2014"
+
+
+def _whole(c: Column) -> Column:
+    return F.floor(c).cast("long").cast("string")
+
+
 def duration(ms: Column) -> Column:
-    """"850ms", "12.3s", "4m 5s" or "2h 3m"."""
+    """"5s", "1m 30s" or "1h 1m", in whole units; a dash for null and 0."""
     s = F.floor(ms / 1000)
     return (
-        F.when(ms.isNull(), "")
-        .when(ms < 1000, F.format_string("%dms", ms.cast("long")))
-        .when(ms < 60_000, F.format_string("%.1fs", ms / 1000.0))
-        .when(ms < 3_600_000, F.format_string("%dm %ds", F.floor(s / 60), s % 60))
-        .otherwise(F.format_string("%dh %dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
+        F.when(ms.isNull() | (ms == 0), NO_TIME)
+        .when(s < 60, F.concat(_whole(s), F.lit("s")))
+        .when(s < 3600, F.concat(_whole(s / 60), F.lit("m "), _whole(s % 60), F.lit("s")))
+        .otherwise(F.concat(_whole(s / 3600), F.lit("h "), _whole(s % 3600 / 60), F.lit("m")))
     )
 
 
+def duration_long(ms: Column) -> Column:
+    """H:MM:SS, with the days before it if there are any; a dash for null and 0."""
+    s = F.floor(ms / 1000)
+    two = lambda c: F.lpad(_whole(c), 2, "0")
+    tail = F.concat(F.lit(":"), two(s % 3600 / 60), F.lit(":"), two(s % 60))
+    days = F.concat(_whole(s / 86400), F.lit(":"), two(s % 86400 / 3600), tail)
+    return F.when(ms.isNull() | (ms == 0), NO_TIME).when(s >= 86400, days).otherwise(F.concat(_whole(s % 86400 / 3600), tail))
+
+
 def ago(then_ms: Column, now_ms: Column) -> Column:
+    """"45s ago", "2m ago", "3h 5m ago" or "1d 2h ago", a second unit of 0 left
+    out; a dash for null and 0, "just now" for times to come."""
     s = F.floor((now_ms - then_ms) / 1000)
-    out = F.when(then_ms.isNull(), "")
-    for most, size, unit in ((60, 1, "s"), (3600, 60, "m"), (86400, 3600, "h")):
-        out = out.when(s < most, F.concat(F.floor(s / size).cast("string"), F.lit(f"{unit} ago")))
-    return out.otherwise(F.concat(F.floor(s / 86400).cast("string"), F.lit("d ago")))
+
+    def two(size: int, unit: str, part: int, part_unit: str) -> Column:
+        rest = F.floor(s % size / part)
+        return F.concat(_whole(s / size), F.lit(unit), F.when(rest > 0, F.concat(F.lit(" "), _whole(rest), F.lit(part_unit))).otherwise(""), F.lit(" ago"))
+
+    return (
+        F.when(then_ms.isNull() | (then_ms == 0), NO_TIME)
+        .when(s < 0, "just now")
+        .when(s < 60, F.concat(_whole(s), F.lit("s ago")))
+        .when(s < 3600, F.concat(_whole(s / 60), F.lit("m ago")))
+        .when(s < 86400, two(3600, "h", 60, "m"))
+        .otherwise(two(86400, "d", 3600, "h"))
+    )
 
 
 def file_size(n: Column) -> Column:

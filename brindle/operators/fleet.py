@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.parsing import backoff_ms
+from brindle.operators.graph import reachable
 
 DOWN_AFTER_MS = 300_000
 
@@ -115,24 +116,33 @@ def actionable(steps: DataFrame, terminal: list[str], parked: list[str]) -> Data
 
 def repair(runs: DataFrame, steps: DataFrame, tasks: DataFrame, servers: DataFrame, now: Column) -> dict[str, DataFrame]:
     """What a repair would change: finished runs to reopen as they have live
-    work, orphaned tasks, steps that failed for a passing reason, dead letters to
-    queue again, and complete steps all of whose tasks failed."""
+    work, orphaned tasks, steps that failed for a passing reason, the failed steps
+    that contain those (``containers(step_id, container_id)``, from
+    ``steps.container_id`` where there is one), dead letters to queue again, and
+    complete steps all of whose tasks failed."""
     live = tasks.filter(F.col("state").isin("pending", "running"))
     per_step = tasks.groupBy("step_id").agg(F.bool_and(F.col("state") == "failed").alias("_all_failed"))
-    return {
+    retry = steps.filter((F.col("state") == "error") & F.col("error").rlike("(?i)timeout|connection|unavailable"))
+    found = {
         "reopen_runs": runs.filter(F.col("run_state") == "complete").join(live, "run_id", "left_semi"),
         "orphans": reap_orphans(tasks, servers, now),
-        "retry_steps": steps.filter((F.col("state") == "error") & F.col("error").rlike("(?i)timeout|connection|unavailable")),
+        "retry_steps": retry,
         "dead_letters": tasks.filter(F.col("state") == "dead_letter"),
         "reopen_steps": steps.filter(F.col("state") == "complete").join(per_step.filter("_all_failed"), "step_id", "left_semi"),
     }
+    if "container_id" in steps.columns:
+        inside = steps.filter("container_id is not null").select(F.col("step_id").alias("src"), F.col("container_id").alias("dst"))
+        above = reachable(inside, retry, "step_id").filter("hops > 0")
+        found["reset_ancestors"] = steps.filter(F.col("state") == "error").join(above, "step_id", "left_semi").join(retry, "step_id", "left_anti")
+    return found
 
 
 def breaker(results: DataFrame, key: str, order: str, failures: int = 5) -> DataFrame:
-    """Whether a handler's circuit opens at a result: the ``failures``-th
-    failure in a row. Runs of failures are told apart by the successes before."""
+    """Whether a closed circuit opens at a result: the ``failures``-th failure
+    in a row. Runs of failures are told apart by the successes before. What
+    happens after cool-down needs state: ``streaming.monitor.breaker_stream``."""
     seen = Window.partitionBy(key).orderBy(order)
     marked = results.withColumn("_run", F.sum((~F.col("failed")).cast("int")).over(seen))
     run = Window.partitionBy(key, "_run").orderBy(order)
     streak = F.sum(F.col("failed").cast("int")).over(run)
-    return marked.withColumn("streak", streak).withColumn("opens", F.col("failed") & (F.col("streak") % failures == 0)).drop("_run")
+    return marked.withColumn("streak", streak).withColumn("opens", F.col("failed") & (F.col("streak") == failures)).drop("_run")

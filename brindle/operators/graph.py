@@ -2,48 +2,69 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder that driver and executors share."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-graph-"))
-    return df.checkpoint(eager=True)
+from brindle.operators.lineage import cut as _cut
 
 
 def layers(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
     """Topological level of each node: 0 without needs, else one more than the
-    highest need. ``edges(src, dst)``: dst needs src. Raises on a cycle."""
-    level = _cut(nodes.select(node, F.lit(0).alias("level")))
-    frontier = _cut(edges.select(F.col("dst").alias(node), F.lit(1).alias("level")).distinct())
-    rounds = 0
-    while not frontier.isEmpty():
-        level = _cut(level.unionByName(frontier).groupBy(node).agg(F.max("level").alias("level")))
-        rounds += 1
-        frontier = _cut(edges.join(frontier.withColumnRenamed(node, "src"), "src").select(F.col("dst").alias(node), (F.col("level") + 1).alias("level")).distinct())
-        if rounds > 10_000:
+    highest need. ``edges(src, dst)``: dst needs src. Layers are peeled off by
+    the number of needs still open, so each edge is used once; what is left
+    when no node is free lies on or behind a cycle, which raises."""
+    pairs = _cut(edges.select("src", "dst").distinct())
+    both = nodes.select(node).unionByName(pairs.select(F.col("src").alias(node))).unionByName(pairs.select(F.col("dst").alias(node))).distinct()
+    needs = pairs.groupBy(F.col("dst").alias(node)).agg(F.count(F.lit(1)).alias("open"))
+    waiting = _cut(both.join(needs, node, "left").select(node, F.coalesce("open", F.lit(0)).alias("open")))
+    level, done = 0, None
+    while not waiting.isEmpty():
+        free = _cut(waiting.filter("open = 0").select(node, F.lit(level).alias("level")))
+        if free.isEmpty():
             raise ValueError("the graph has a cycle")
-    return level.join(nodes.select(node), node, "left_semi")
+        done = free if done is None else done.unionByName(free)
+        closed = pairs.join(free.select(F.col(node).alias("src")), "src").groupBy(F.col("dst").alias(node)).agg(F.count(F.lit(1)).alias("closed"))
+        waiting = waiting.filter("open > 0").join(closed, node, "left")
+        waiting = _cut(waiting.select(node, (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")))
+        level += 1
+        if level % 50 == 0:
+            done = _cut(done)
+    if done is None:
+        return nodes.select(node, F.lit(0).alias("level"))
+    return done.join(nodes.select(node), node, "left_semi")
 
 
 def depths(parents: DataFrame, node: str = "id", parent: str = "parent") -> DataFrame:
-    """Depth of each node of a forest; roots and orphans are at 0."""
+    """Depth of each node of a forest; roots and orphans are at 0. Nodes on or
+    below a cycle of parents have none, which raises."""
     known = parents.select(F.col(node).alias(parent)).distinct()
-    rows = parents.join(known.withColumn("_known", F.lit(True)), parent, "left")
-    done = _cut(rows.filter("_known is null").select(node, F.lit(0).alias("depth")))
-    level, depth = done, 0
-    children = _cut(rows.filter("_known").select(node, parent))
+    rows = _cut(parents.join(known.withColumn("_known", F.lit(True)), parent, "left"))
+    level = _cut(rows.filter("_known is null").select(node, F.lit(0).alias("depth")))
+    children = rows.filter("_known").select(node, parent)
+    done, depth, placed = level, 0, level.count()
     while True:
         depth += 1
         level = _cut(children.join(level.select(F.col(node).alias(parent)), parent).select(node, F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            return done
-        done = _cut(done.unionByName(level))
+        n = level.count()
+        if not n:
+            break
+        placed += n
+        done = done.unionByName(level)
+        if depth % 50 == 0:
+            done = _cut(done)
+    if placed < rows.count():
+        raise ValueError("the parents have a cycle")
+    return done
+
+
+def dependents(edges: DataFrame, states: DataFrame, node: str = "id") -> DataFrame:
+    """What a retry starts again: failed nodes as pending, and all that need
+    them, directly or not, as created, unless they never began.
+    ``states(id, state)``; one row per node whose state changes."""
+    failed = states.filter("state = 'failed'").select(node)
+    behind = reachable(edges, failed, node).filter("hops > 0").select(node)
+    again = behind.join(failed, node, "left_anti").join(states.filter("state <> 'created'"), node).select(node, F.lit("created").alias("new_state"))
+    return failed.distinct().select(node, F.lit("pending").alias("new_state")).unionByName(again)
 
 
 def reachable(edges: DataFrame, starts: DataFrame, node: str = "id") -> DataFrame:

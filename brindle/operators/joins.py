@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,7 +146,78 @@ def unordered_pairs(df: DataFrame, group: str, order: str) -> DataFrame:
     return a.join(b, group).filter(F.col(f"a.{order}") < F.col(f"b.{order}"))
 
 
-def latest_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The row of each key that comes first in ``order``."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+def sampled_pairs(df: DataFrame, group: str, order: str, least_metres: float, most: int) -> DataFrame:
+    """Pairs of a group that lie ``least_metres`` or more apart, at most
+    ``most`` per group in the order of a hash of the pair. Groups are the
+    anchors of one zoom, whose number the zoom bounds."""
+    pairs = unordered_pairs(df, group, order).withColumn("metres", haversine(F.col("a.lon"), F.col("a.lat"), F.col("b.lon"), F.col("b.lat"))).filter(F.col("metres") >= least_metres)
+    name = F.md5(F.concat_ws("-", F.col(f"a.{order}").cast("string"), F.col(f"b.{order}").cast("string")))
+    pairs = pairs.withColumn("_salt", F.pmod(F.xxhash64(name), F.lit(16))).withColumn("_name", name)
+    for keys in ([group, "_salt"], [group]):  # the best of parts first, then of all
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_name"))
+        pairs = pairs.withColumn("_rank", rank).filter(F.col("_rank") <= most).drop("_rank")
+    return pairs.drop("_salt", "_name")
+
+
+def segment_distance(lon: Column, lat: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Metres from a point to a segment, flat with longitudes scaled by the
+    point's latitude to find the nearest place, which is measured on the sphere."""
+    scale = F.cos(F.radians(lat))
+    dx, dy = (x2 - x1) * scale, y2 - y1
+    along = F.coalesce(F.try_divide((lon - x1) * scale * dx + (lat - y1) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+    return haversine(lon, lat, x1 + t * (x2 - x1), y1 + t * (y2 - y1))
+
+
+def snap(points: DataFrame, segments: DataFrame, point_key: str, edge_key: str, metres: float = 50.0, cell: float = 0.005) -> DataFrame:
+    """For each point the nearest edge less than ``metres`` away (inner), of
+    equally near ones the smallest: ``segments(<edge>, x1, y1, x2, y2)``.
+
+    Segments are dealt to grid cells along their course, half a cell apart, and
+    points look into the cells around theirs. Holds up to 84 degrees of latitude,
+    where a cell is ten times the distance wide.
+    """
+    column = lambda c: F.floor(c / cell).cast("long")
+    steps = F.greatest(F.ceil(F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))) / (cell / 2)), F.lit(1)).cast("int")
+    at = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / F.col("_steps")
+    course = F.transform(F.sequence(F.lit(0), F.col("_steps")), lambda i: F.struct(column(at("x1", "x2", i)).alias("_x"), column(at("y1", "y2", i)).alias("_y")))
+    dealt = segments.withColumn("_steps", steps).select(edge_key, "x1", "y1", "x2", "y2", F.inline(F.array_distinct(course)))
+    near = F.sequence(F.lit(-1), F.lit(1))
+    around = F.flatten(F.transform(near, lambda i: F.transform(near, lambda j: F.struct((column(F.col("lon")) + i).alias("_x"), (column(F.col("lat")) + j).alias("_y")))))
+    probes = points.select(point_key, "lon", "lat", F.inline(around))
+    met = probes.join(dealt, ["_x", "_y"]).withColumn("metres", segment_distance(*map(F.col, ("lon", "lat", "x1", "y1", "x2", "y2")))).filter(F.col("metres") < metres)
+    best = met.groupBy(point_key).agg(F.min(F.struct("metres", F.col(edge_key))).alias("_best"))
+    return best.select(point_key, F.col(f"_best.{edge_key}").alias(edge_key), F.col("_best.metres").alias("metres"))
+
+
+def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Corners in counter-clockwise order from the smallest, one chain at a time."""
+    ordered = sorted(set(points))
+    if len(ordered) < 3:
+        return ordered
+
+    def chain(run: list) -> list:
+        kept: list = []
+        for x, y in run:
+            while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (y - kept[-2][1]) <= (kept[-1][1] - kept[-2][1]) * (x - kept[-2][0]):
+                del kept[-1]
+            kept.append((x, y))
+        return kept[:-1]
+
+    return chain(ordered) + chain(ordered[::-1])
+
+
+def convex_hull(points: DataFrame, key: str, salts: int = 64) -> DataFrame:
+    """(key, corner, lon, lat): corners of each group's hull in order. The hull
+    of hulls of parts is the hull, so a group is dealt to parts first and no task
+    holds all of its points."""
+    kind = dict(points.dtypes)[key]
+
+    def hulls(frame: pd.DataFrame) -> pd.DataFrame:
+        corners = _hull(list(zip(frame["lon"].tolist(), frame["lat"].tolist(), strict=True)))
+        return pd.DataFrame({key: [frame[key].iloc[0]] * len(corners), "corner": range(len(corners)), "lon": [c[0] for c in corners], "lat": [c[1] for c in corners]})
+
+    schema = f"{key} {kind}, corner int, lon double, lat double"
+    rows = points.filter("lon is not null and lat is not null").select(key, F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")).distinct()
+    parts = rows.withColumn("_salt", F.pmod(F.xxhash64("lon", "lat"), F.lit(salts))).groupBy(key, "_salt").applyInPandas(hulls, schema)
+    return parts.groupBy(key).applyInPandas(hulls, schema)

@@ -6,10 +6,16 @@ null.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from decimal import Decimal
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.numeric import exact_mean, exact_sum, ratio
+from brindle.operators.lineage import cut
 
 
 def tag(name: str) -> Column:
@@ -63,26 +69,144 @@ def name_search(pattern: str, column: str = "name") -> Column:
 
 
 def park_class() -> Column:
-    """National park, state park, reserve, protected area or park: first match
-    of a ladder whose order matters."""
-    protect = tag("protect_class")
-    low = F.lower(F.coalesce("name", F.lit("")))
+    """National, state, nature_reserve, protected_area or park, by the first
+    match of a ladder whose order matters; what matches nothing is protected_area."""
+    protect, designation = tag("protect_class"), F.lower(F.coalesce(tag("designation"), F.lit("")))
+    named = lambda *kinds: F.greatest(F.lit(False), *[F.contains(designation, F.lit(k + joint + last)) for k, last in kinds for joint in ("_", " ")])
     return (
-        F.when((tag("boundary") == "national_park") | (protect == "2") | low.contains("national park"), "national_park")
-        .when(low.contains("state park") | (protect == "5"), "state_park")
-        .when((tag("leisure") == "nature_reserve") | protect.isin("1a", "1b", "4"), "nature_reserve")
+        F.when((tag("boundary") == "national_park") | (protect == "2") | named(("national", "park")), "national")
+        .when((protect == "5") | named(("state", "park"), ("regional", "park"), ("provincial", "park")), "state")
+        .when((tag("leisure") == "nature_reserve") | protect.isin("1a", "1b") | named(("nature", "reserve")), "nature_reserve")
         .when(tag("boundary") == "protected_area", "protected_area")
         .when(tag("leisure") == "park", "park")
-        .otherwise("other")
+        .otherwise("protected_area")
     )
 
 
+# Classes by the tags highway, amenity and building.
+ROAD_CLASSES = {
+    "motorway": ["motorway", "motorway_link"],
+    "trunk": ["trunk", "trunk_link"],
+    "primary": ["primary", "primary_link"],
+    "secondary": ["secondary", "secondary_link"],
+    "tertiary": ["tertiary", "tertiary_link"],
+    "residential": ["residential", "living_street"],
+    "service": ["service"],
+    "unclassified": ["unclassified"],
+    "track": ["track"],
+    "path": ["path", "footway", "cycleway", "bridleway"],
+}
+AMENITY_CLASSES = {
+    "food": ["restaurant", "cafe", "bar", "pub", "fast_food", "food_court", "ice_cream", "biergarten"],
+    "services": ["bank", "atm", "post_office", "fuel", "car_wash", "car_rental", "charging_station", "parking"],
+    "healthcare": ["hospital", "clinic", "doctors", "dentist", "pharmacy", "veterinary"],
+    "education": ["school", "university", "college", "library", "kindergarten"],
+    "entertainment": ["cinema", "theatre", "nightclub", "casino", "arts_centre"],
+    "transport": ["bus_station", "ferry_terminal", "taxi"],
+}
+BUILDING_CLASSES = {
+    "residential": ["house", "residential", "apartments", "detached", "semidetached_house", "terrace", "dormitory"],
+    "commercial": ["commercial", "hotel"],
+    "office": ["office"],
+    "industrial": ["industrial", "warehouse", "factory", "manufacture"],
+    "retail": ["retail", "supermarket", "kiosk"],
+    "public": ["public", "civic", "government", "hospital", "school", "university", "kindergarten"],
+    "religious": ["church", "chapel", "cathedral", "mosque", "temple", "synagogue"],
+}
+TOURISM_SERVICES = ["hotel", "motel", "hostel", "guest_house"]
+TOURISM_ENTERTAINMENT = ["museum", "gallery", "zoo", "theme_park"]
+PUBLIC_AMENITIES = ["hospital", "school", "university", "library", "townhall"]
+
+
+def _class_of(value: Column, classes: dict[str, list[str]]) -> Column:
+    found = F.create_map(*[F.lit(x) for name, values in classes.items() for v in values for x in (v, name)])
+    return F.try_element_at(found, F.coalesce(value, F.lit("")))
+
+
+def road_class() -> Column:
+    return F.coalesce(_class_of(tag("highway"), ROAD_CLASSES), F.lit("other"))
+
+
+def amenity_class() -> Column:
+    """By the amenity tag, else any shop, else tourism."""
+    other = F.when(tag("shop").isNotNull(), "shopping").when(tag("tourism").isin(*TOURISM_SERVICES), "services").when(tag("tourism").isin(*TOURISM_ENTERTAINMENT), "entertainment").otherwise("other")
+    return F.coalesce(_class_of(tag("amenity"), AMENITY_CLASSES), other)
+
+
+def building_class() -> Column:
+    """By the building tag, else public amenities, else any shop, else any office."""
+    other = F.when(tag("amenity").isin(*PUBLIC_AMENITIES), "public").when(tag("shop").isNotNull(), "retail").when(tag("office").isNotNull(), "office").otherwise("other")
+    return F.coalesce(_class_of(tag("building"), BUILDING_CLASSES), other)
+
+
+# Tag values that a feature load takes in, by category and kind.
+LOAD_VALUES = {
+    "routes": {
+        "bicycle": ["bicycle", "mtb"],
+        "hiking": ["hiking", "foot", "walking"],
+        "train": ["train", "railway", "light_rail", "subway", "tram"],
+        "bus": ["bus", "trolleybus"],
+    },
+    "amenities": {
+        "food": ["restaurant", "cafe", "bar", "fast_food", "pub", "food_court", "ice_cream"],
+        "shopping": ["supermarket", "mall", "convenience", "department_store", "clothes", "shoes"],
+        "services": ["bank", "atm", "post_office", "fuel", "charging_station", "parking"],
+        "healthcare": ["hospital", "pharmacy", "doctors", "clinic", "dentist", "veterinary"],
+        "education": ["school", "university", "library", "college", "kindergarten"],
+        "entertainment": ["cinema", "theatre", "nightclub", "arts_centre", "casino"],
+        "transport": ["bus_station", "taxi", "ferry_terminal", "bicycle_parking", "bicycle_rental"],
+    },
+    "roads": {
+        "motorway": ["motorway", "motorway_link"],
+        "primary": ["primary", "primary_link"],
+        "secondary": ["secondary", "secondary_link"],
+        "tertiary": ["tertiary", "tertiary_link"],
+        "residential": ["residential", "living_street"],
+        "major": ["motorway", "motorway_link", "primary", "primary_link", "secondary", "secondary_link"],
+    },
+}
+LOAD_KEYS = {"routes": ["route", "route_type"], "amenities": ["amenity"], "roads": ["highway"], "buildings": ["building"]}
+LOADS = ["routes", "amenities", "roads", "parks", "buildings", "boundaries", "population", "pois"]
+
+
+def load_matches(category: str, kind: str = "all", least_population: int = 0) -> Column:
+    """Whether a feature load of a category takes a feature in. A kind without
+    a list of values is its own value; boundaries and points of interest take
+    everything, as the kind ``all`` does; a population that is no whole number is 0."""
+    if category == "population":
+        people = F.coalesce(F.trim(tag("population")).try_cast("long"), F.lit(0))
+        return (people >= least_population) & (F.coalesce(tag("place") == kind, F.lit(False)) if kind != "all" else F.lit(True))
+    if category in ("boundaries", "pois") or kind == "all":
+        return F.lit(True)
+    if category == "parks":
+        ladder = {
+            "national": (tag("boundary") == "national_park") | (tag("protect_class") == "2"),
+            "state": tag("protect_class") == "5",
+            "nature_reserve": tag("leisure") == "nature_reserve",
+        }
+        return F.coalesce(ladder.get(kind, F.lit(True)), F.lit(False))
+    values = LOAD_VALUES.get(category, {}).get(kind, [kind])
+    return F.greatest(F.lit(False), *[F.coalesce(tag(k).isin(*values), F.lit(False)) for k in LOAD_KEYS[category]])
+
+
+def loads(features: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
+    """One row per feature and wanted (category, kind) that takes it in: all
+    loads in one scan."""
+    held = F.array_compact(F.array(*[F.when(load_matches(c, k), F.struct(F.lit(c).alias("category"), F.lit(k).alias("kind"))) for c, k in wanted]))
+    return features.select("*", F.inline(held))
+
+
+def strip_columns(df: DataFrame, names: set[str] = frozenset(), patterns: list[str] = ()) -> DataFrame:
+    """Without the columns that are named or match a pattern from their start."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names and not any(re.match(p, c) for p in patterns)])
+
+
 def park_matches(kind: str, classes: list[str] | None = None) -> Column:
     """A given ``park_type`` wins over the tags; ``protected_area`` takes in
     national parks, state parks and reserves; a list of protect classes rejects
     only rows that have a class outside it."""
     own = F.coalesce("park_type", park_class())
-    wanted = ["protected_area", "national_park", "state_park", "nature_reserve"] if kind == "protected_area" else [kind]
+    wanted = ["protected_area", "national", "state", "nature_reserve"] if kind == "protected_area" else [kind]
     ok = own.isin(*wanted) if kind != "all" else F.lit(True)
     return ok & (F.coalesce(tag("protect_class").isin(*classes), F.lit(True)) if classes else F.lit(True))
 
@@ -127,7 +251,25 @@ def population_stats(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
 def field_stats(df: DataFrame, fields: list[str]) -> DataFrame:
     """Least, most, mean and exact median of each numeric field, one row each."""
     rows = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("v")) for f in fields]))).filter("v is not null")
-    return rows.groupBy("field").agg(F.min("v").alias("least"), F.max("v").alias("most"), exact_mean(F.col("v")).alias("mean"), F.median("v").alias("median"), F.count(F.lit(1)).alias("n"))
+    stats = rows.groupBy("field").agg(F.min("v").alias("least"), F.max("v").alias("most"), exact_mean(F.col("v")).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return stats.join(medians(rows, "field", "v"), "field").select("field", "least", "most", "mean", "median", "n")
+
+
+def medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Exact median of each key. Counts of distinct values are laid out in
+    ranges; the ranges' sums tell in which the middle ranks lie, and only those
+    are ranked, so no task holds all values of a key."""
+    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut(counts.repartitionByRange(key, value).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(key, "_range").agg(F.sum("_n").alias("_rows"))  # as many rows as ranges
+    upto = Window.partitionBy(key).orderBy("_range")
+    sums = sums.withColumn("_before", F.sum("_rows").over(upto) - F.col("_rows")).withColumn("_all", F.sum("_rows").over(Window.partitionBy(key)))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)  # places of the middle, from 0
+    holds = sums.filter((F.col("_before") <= high) & (F.col("_before") + F.col("_rows") > low))
+    within = Window.partitionBy(key, "_range").orderBy(value)
+    placed = ranged.join(holds, [key, "_range"]).withColumn("_to", F.col("_before") + F.sum("_n").over(within)).withColumn("_from", F.col("_to") - F.col("_n"))
+    at = lambda place: F.max(F.when((F.col("_from") <= place) & (F.col("_to") > place), F.col(value)))
+    return placed.groupBy(key).agg(((at(low) + at(high)) / 2).alias("median"))
 
 
 def state_rollup(df: DataFrame, key: str) -> DataFrame:
@@ -168,9 +310,11 @@ def rescale(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
 def suitability(df: DataFrame, weights: dict[str, float], competitors: str, population: str, keys: list[str]) -> DataFrame:
     """Weighted demand over rescaled columns, and demand * 100 / (1 + competitors per 1000)."""
     scaled = rescale(df, list(weights), keys)
-    demand = sum((F.col(f"norm_{c}") * w for c, w in weights.items()), F.lit(0.0))
+    # decimals, so that a value half way between two digits is rounded up wherever it runs
+    demand = F.round(sum((F.col(f"norm_{c}").cast("decimal(18,12)") * F.lit(Decimal(str(w))) for c, w in weights.items()), F.lit(Decimal("0.0"))), 4).cast("double")
     density = F.coalesce(ratio(F.col(competitors) * 1000, F.col(population)), F.lit(0.0))
-    return scaled.withColumn("demand", F.round(demand, 4)).withColumn("per_1000", density).withColumn("suitability", F.round(F.col("demand") * 100 / (1 + density), 2))
+    suits = F.round((F.col("demand") * 100 / (1 + density)).cast("decimal(18,9)"), 2).cast("double")
+    return scaled.withColumn("demand", demand).withColumn("per_1000", density).withColumn("suitability", suits)
 
 
 # ---- verification ---------------------------------------------------------
@@ -189,10 +333,20 @@ def repeated_ids(df: DataFrame, key: str) -> DataFrame:
 
 # ---- roads ----------------------------------------------------------------
 
-# Base score of each functional class of road, and for zooms 2 to
-# 7 the weights of backbone and class scores.
-CLASS_SCORE = {"motorway": 1.0, "trunk": 0.85, "primary": 0.7, "secondary": 0.5, "tertiary": 0.3, "residential": 0.1}
-ZOOM_WEIGHTS = {2: (0.7, 0.3), 3: (0.65, 0.35), 4: (0.6, 0.4), 5: (0.5, 0.5), 6: (0.4, 0.6), 7: (0.3, 0.7)}
+# Base score of each functional class of road; for zooms 2 to 7
+# the weights of backbone, class and special (ring, bypass) scores, the budget
+# of a cell and the least length in a cell with anchors, in km; the weights of
+# structures and of a reference number; budget factors by density of roads.
+CLASS_SCORE = {
+    "motorway": 1.0, "trunk": 0.88, "primary": 0.75, "secondary": 0.60, "tertiary": 0.45, "unclassified": 0.30, "residential": 0.18, "service": 0.08, "track": 0.04, "path": 0.02,
+}
+BACKBONE_WEIGHT = {2: 0.75, 3: 0.70, 4: 0.65, 5: 0.60, 6: 0.55, 7: 0.50}
+CLASS_WEIGHT = {2: 0.25, 3: 0.30, 4: 0.35, 5: 0.40, 6: 0.45, 7: 0.50}
+SPECIAL_WEIGHT = {2: 0.03, 3: 0.03, 4: 0.08, 5: 0.08, 6: 0.08, 7: 0.04}
+BUDGET_KM = {2: 80.0, 3: 160.0, 4: 260.0, 5: 420.0, 6: 650.0, 7: 900.0}
+FLOOR_KM = {2: 10.0, 3: 20.0, 4: 40.0, 5: 70.0, 6: 120.0, 7: 180.0}
+STRUCTURE_WEIGHT, REF_WEIGHT = 0.05, 0.03
+DENSITY_FACTORS = [(0.2, 1.3), (1.0, 1.0), (5.0, 0.6), (None, 0.4)]
 
 
 def class_score(fc: Column, ref: Column, structure: Column, unpaved: Column, restricted: Column) -> Column:
@@ -202,13 +356,34 @@ def class_score(fc: Column, ref: Column, structure: Column, unpaved: Column, res
     return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))
 
 
-def zoom_scores(edges: DataFrame, boost: float = 0.05) -> DataFrame:
-    """One row per edge and zoom with its score, clamped to 0..1.2."""
-    zooms = F.array(*[F.struct(F.lit(z).alias("zoom"), F.lit(a).alias("w_backbone"), F.lit(b).alias("w_class")) for z, (a, b) in ZOOM_WEIGHTS.items()])
-    rows = edges.select("*", F.inline(zooms))
+def zoom_scores(edges: DataFrame) -> DataFrame:
+    """One row per edge and zoom with its score, clamped to 0..1.2:
+    ``edges(edge_id, backbone, fc_score, structure, has_ref, ring, bypass)``."""
+    weights = [F.struct(F.lit(z).alias("zoom"), F.lit(BACKBONE_WEIGHT[z]).alias("w_backbone"), F.lit(CLASS_WEIGHT[z]).alias("w_class"), F.lit(SPECIAL_WEIGHT[z]).alias("w_special")) for z in BACKBONE_WEIGHT]
+    rows = edges.select("*", F.inline(F.array(*weights)))
     yes = lambda c, w: F.when(F.coalesce(F.col(c), F.lit(False)), w).otherwise(0.0)
-    score = F.col("w_backbone") * F.coalesce("backbone", F.lit(0.0)) + F.col("w_class") * F.col("fc_score") + yes("structure", 0.03) + yes("has_ref", 0.02) + yes("ring", boost)
-    return rows.withColumn("score", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.2))).drop("w_backbone", "w_class")
+    special = yes("ring", F.col("w_special")) + yes("bypass", F.col("w_special"))
+    score = F.col("w_backbone") * F.coalesce("backbone", F.lit(0.0)) + F.col("w_class") * F.col("fc_score") + yes("structure", STRUCTURE_WEIGHT) + yes("has_ref", REF_WEIGHT) + special
+    return rows.withColumn("score", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.2))).drop("w_backbone", "w_class", "w_special")
+
+
+def density_factor(road_km: Column, area_km2: Column) -> Column:
+    """Share of the base budget by km of road per square km: sparse cells get more."""
+    density = F.when(area_km2 > 0, road_km / area_km2).otherwise(0.0)
+    out = None
+    for most, factor in DENSITY_FACTORS[:-1]:
+        out = F.when(density < most, factor) if out is None else out.when(density < most, factor)
+    return out.otherwise(DENSITY_FACTORS[-1][1])
+
+
+def cell_budgets(edges: DataFrame, cell: str, area_km2: float) -> DataFrame:
+    """Budget of every cell and zoom from ``edges(<cell>, km)``: the base of the
+    zoom times the cell's density factor, and the least length."""
+    cells = edges.groupBy(cell).agg(exact_sum(F.col("km")).alias("road_km"))
+    cells = cells.withColumn("density_factor", density_factor(F.col("road_km"), F.lit(area_km2)))
+    zooms = F.array(*[F.struct(F.lit(z).alias("zoom"), F.lit(BUDGET_KM[z]).alias("base_km"), F.lit(FLOOR_KM[z]).alias("floor_km")) for z in BUDGET_KM])
+    rows = cells.select("*", F.inline(zooms))
+    return rows.withColumn("budget_km", F.col("base_km") * F.col("density_factor")).drop("base_km")
 
 
 def first_zoom(selected: DataFrame) -> DataFrame:
@@ -230,26 +405,57 @@ def votes_to_score(df: DataFrame, keys: list[str], votes: str) -> DataFrame:
 
 def greedy_budget(candidates: DataFrame, group: str, cell: str) -> DataFrame:
     """Per cell of a group take candidates by score while the cell's budget
-    lasts; a later, shorter one may still fit. Sequential within a cell, so
-    cells are the unit of work (``applyInPandas``)."""
-    schema = f"{group} int, {cell} long, edge_id long, km double, score double, budget_km double"
-
-    def choose(frame):
-        frame = frame.sort_values(["score", "edge_id"], ascending=[False, True])
-        left, kept = float(frame["budget_km"].iloc[0]) if len(frame) else 0.0, []
-        for km in frame["km"]:
-            fits = km <= left + 1e-9
-            left -= km if fits else 0.0
-            kept.append(fits)
-        return frame[kept]
-
-    return candidates.select(group, cell, "edge_id", "km", "score", "budget_km").groupBy(group, cell).applyInPandas(choose, schema)
-
-
-def ring_test(df: DataFrame, keys: list[str], radius: str, votes: str, limit: float) -> DataFrame:
-    """A ring has radii of small variation (population deviation over mean) and
-    enough votes: at least 2 and 5 percent of all."""
-    cv = F.try_divide(F.stddev_pop(radius), F.avg(radius))
-    return df.groupBy(*keys).agg(cv.alias("cv"), F.sum(votes).alias("votes"), F.count(F.lit(1)).alias("n")).withColumn(
-        "ring", (F.col("cv") <= limit) & (F.col("votes") >= F.greatest(F.lit(2.0), 0.05 * F.col("n")))
+    lasts; a later, shorter one may still fit. Where ``floor_km`` is above 0
+    (cells with anchors) and less than that was taken, the best of the others
+    follow until it is reached.
+
+    Rows come sorted by cell and score and are read as a stream: besides what
+    is left of the budget only the best refused candidates are held, up to the
+    floor, so a hot cell needs no more memory than a small one.
+    """
+    columns = [group, cell, "edge_id", "km", "score", "budget_km", "floor_km"]
+    kinds = dict(candidates.dtypes)
+    rows = candidates.withColumn("floor_km", F.coalesce("floor_km", F.lit(0.0)) if "floor_km" in kinds else F.lit(0.0)).select(*columns)
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used, refused, held = None, 0.0, [], 0.0
+
+        def close() -> list:
+            taken, total = [], used
+            for row in refused:
+                if now is None or total >= row[6]:
+                    break
+                taken.append(row)
+                total += row[3]
+            return taken
+
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False, name=None):
+                if row[:2] != now:
+                    out += close()
+                    now, used, refused, held = row[:2], 0.0, [], 0.0
+                if used + row[3] <= row[5] + 1e-9:
+                    used += row[3]
+                    out.append(row)
+                elif held < row[6]:
+                    refused.append(row)
+                    held += row[3]
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(close(), columns=columns)
+
+    ordered = rows.repartition(group, cell).sortWithinPartitions(group, cell, F.desc("score"), "edge_id")
+    return ordered.mapInPandas(choose, f"{group} {kinds[group]}, {cell} {kinds[cell]}, edge_id {kinds['edge_id']}, km double, score double, budget_km double, floor_km double")
+
+
+def ring_test(df: DataFrame, keys: list[str], radius: str, votes: str, limit: float, core: Column, bounds: Column, least: int = 10) -> DataFrame:
+    """A ring has radii of small variation (population deviation over mean),
+    at least ``least`` of them, a mean radius from 1.5 times the ``core`` to 1.2
+    times the ``bounds`` of its place (aggregates or literals), and enough
+    votes: at least 2 and 5 percent of all."""
+    mean = F.avg(radius)
+    out = df.groupBy(*keys).agg(
+        F.try_divide(F.stddev_pop(radius), mean).alias("cv"), mean.alias("mean_radius"), F.count(radius).alias("radii"), F.sum(votes).alias("votes"), F.count(F.lit(1)).alias("n"), core.alias("_core"), bounds.alias("_bounds")
     )
+    fits = (F.col("cv") <= limit) & (F.col("radii") >= least) & F.col("mean_radius").between(1.5 * F.col("_core"), 1.2 * F.col("_bounds"))
+    return out.withColumn("ring", F.coalesce(fits & (F.col("votes") >= F.greatest(F.lit(2.0), 0.05 * F.col("n"))), F.lit(False))).drop("_core", "_bounds")

@@ -26,16 +26,30 @@ def convergence(rounds: DataFrame, key: str, order: str, score: str, first: floa
     return rounds.withColumn("delta", F.abs(F.col(score) - before) / F.greatest(before, F.lit(1.0))).withColumn("converged", F.col("delta") < limit)
 
 
-def split(df: DataFrame, key: str, shares: dict[str, float], seed: int = 42) -> DataFrame:
-    """A deterministic split: a row's hashed place in 0..1 decides its part, so
-    rows keep their part when others come or go and nothing is sorted."""
-    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) / 1_000_000.0
+def numbered(df: DataFrame, key: str, out: str = "place") -> DataFrame:
+    """Add places 0, 1, 2, ... in the order of the keys' hashes, and ``rows``,
+    how many there are. Rows are ranked inside 65,536 ranges of the hash and
+    each range starts where those before it end, so no task holds the table."""
+    hashed = df.withColumn("_hash", F.md5(F.col(key).cast("string"))).withColumn("_range", F.substring("_hash", 1, 4))
+    sums = hashed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # 65,536 rows at most
+    everything = Window.partitionBy(F.lit(0))
+    upto = everything.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.sum("_n").over(everything).alias("rows"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_hash", key))
+    return hashed.withColumn("_within", within).join(F.broadcast(sums), "_range").withColumn(out, F.col("_before") + F.col("_within") - 1).drop("_hash", "_range", "_within", "_before")
+
+
+def split(df: DataFrame, key: str, shares: dict[str, float]) -> DataFrame:
+    """A deterministic split by count: of n rows in hashed order each part gets
+    int(share * n), the last one the rest."""
+    rows = numbered(df, key, "_place")
     part: Column | None = None
-    upto = 0.0
-    for name, share in shares.items():
-        upto += share
-        part = F.when(place < upto, name) if part is None else part.when(place < upto, name)
-    return df.withColumn("part", part.otherwise(list(shares)[-1]))
+    upto = F.lit(0).cast("long")
+    for name, share in list(shares.items())[:-1]:
+        upto = upto + F.floor(F.col("rows") * share)
+        part = F.when(F.col("_place") < upto, name) if part is None else part.when(F.col("_place") < upto, name)
+    last = list(shares)[-1]
+    return rows.withColumn("part", F.lit(last) if part is None else part.otherwise(last)).drop("_place", "rows")
 
 
 def binary_metrics(df: DataFrame, keys: list[str], actual: str = "actual", predicted: str = "predicted") -> DataFrame:

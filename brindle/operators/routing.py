@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Step = Callable[[DataFrame], DataFrame]
+NO_CASE = "no case matched and there is no default"
 
 
 def call(df: DataFrame, arguments: dict[str, Column], keep: list[str] = ()) -> DataFrame:
@@ -33,25 +34,37 @@ def foreach(df: DataFrame, values: str, variable: str, position: str = "position
     return df.select(*kept, F.posexplode(items).alias(position, variable))
 
 
-def route(df: DataFrame, cases: list[tuple[Column, Step]], default: Step | None = None) -> DataFrame:
+def route(df: DataFrame, cases: list[tuple[Column, Step | dict[str, Column]]], default: Step | dict[str, Column] | None = None) -> DataFrame:
     """``when`` routing: a row goes to every case that holds, to the default if
-    none does; with no default, a row without a case raises.
+    none does; with no default, a row without a case raises. A null condition
+    does not hold.
 
-    A null condition does not hold. The input is scanned once per branch by
-    filters that reach the source; results are merged by name.
+    Steps that are projections (name -> Column) are all computed in one scan; a
+    field that one lacks is null there. Steps that are functions on a DataFrame
+    scan the input once per branch, by filters that reach the source, and
+    results are merged by name.
     """
     held = [F.coalesce(condition, F.lit(False)) for condition, _ in cases]
-    none = ~F.coalesce(F.greatest(*[h.cast("int") for h in held]) if len(held) > 1 else held[0].cast("int"), F.lit(0)).cast("boolean")
-    branches = [step(df.filter(h)) for h, (_, step) in zip(held, cases, strict=True)]
+    none = ~F.greatest(F.lit(False), *held)
+    steps = [step for _, step in cases]
+    if all(isinstance(step, dict) for step in [*steps, *([] if default is None else [default])]):
+        names = list(dict.fromkeys(n for step in [*steps, default or {}] for n in step))
+        project = lambda step: F.struct(*[step.get(n, F.lit(None)).alias(n) for n in names])
+        last = project(default) if default is not None else F.raise_error(F.lit(NO_CASE))
+        return df.select(F.inline(F.array_compact(F.array(*[F.when(h, project(step)) for h, step in zip(held, steps, strict=True)], F.when(none, last)))))
+    branches = [_applied(step, df.filter(h)) for h, step in zip(held, steps, strict=True)]
     rest = df.filter(none)
     if default is not None:
-        branches.append(default(rest))
+        branches.append(_applied(default, rest))
     else:
-        checked = rest.filter(F.raise_error(F.lit("no case matched and there is no default")).isNull())
-        branches.append(cases[0][1](checked))
+        branches.append(_applied(steps[0], rest.filter(F.raise_error(F.lit(NO_CASE)).isNull())))
     return merge(*branches)
 
 
+def _applied(step: Step | dict[str, Column], df: DataFrame) -> DataFrame:
+    return call(df, step) if isinstance(step, dict) else step(df)
+
+
 def merge(*parts: DataFrame) -> DataFrame:
     """Yields of several blocks as one table; fields that one lacks are null."""
     out = parts[0]
@@ -80,9 +93,16 @@ def attempt(df: DataFrame, outputs: dict[str, Column], checks: list[tuple[Column
     return out.withColumns({name: F.when(F.col("error_type").isNull(), c) for name, c in outputs.items()})
 
 
-def catch(df: DataFrame, handler: Step, when: Column | None = None) -> DataFrame:
+def catch(df: DataFrame, handler: Step | dict[str, Column], when: Column | None = None) -> DataFrame:
     """Send error rows through a handler. With ``when``, error rows that do not
-    match it complete without the handler: the error is swallowed."""
+    match it complete without the handler: the error is swallowed. A handler
+    that is a projection (name -> Column) needs one scan."""
+    if isinstance(handler, dict):
+        failed = F.col("error_type").isNotNull()
+        match = failed & (F.lit(True) if when is None else F.coalesce(when, F.lit(False)))
+        before = lambda c: F.col(c) if c in df.columns else F.lit(None)
+        swallowed = {c: F.when(~failed | match, F.col(c)) for c in ("error_type", "error") if c not in handler}
+        return df.withColumns({**swallowed, **{c: F.when(match, e).otherwise(before(c)) for c, e in handler.items()}})
     fine = df.filter("error_type is null")
     failed = df.filter("error_type is not null")
     if when is None:

@@ -14,8 +14,8 @@ NOW = 900_000_000_000
 
 TASKS_SQL = f"""
     tasks AS (SELECT o_orderkey AS task_id, o_orderpriority AS name, o_custkey % 100 AS server_id,
-        CASE o_orderkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'complete' WHEN 3 THEN 'failed' ELSE 'running' END AS state,
-        epoch_ms(o_orderdate) AS created, epoch_ms(o_orderdate) + o_orderkey % 90000 AS updated, {NOW} - o_orderkey % 240000 AS heartbeat, {NOW} + o_orderkey % 20001 - 10000 AS lease_until,
+        CASE WHEN o_orderkey % 35 = 3 THEN 'dead_letter' ELSE CASE o_orderkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'complete' WHEN 3 THEN 'failed' ELSE 'running' END END AS state,
+        epoch_ms(o_orderdate) AS created, epoch_ms(o_orderdate) + o_orderkey % 90000 AS updated, {NOW} - o_orderkey * 7919 % 240000 AS heartbeat, {NOW} + o_orderkey % 20001 - 10000 AS lease_until,
         {NOW} + o_orderkey % 3001 - 1500 AS next_retry_after, o_orderkey % 4 AS retry_count, o_orderkey % 3 + 1 AS max_retries, 60000 * (o_orderkey % 4) AS timeout_ms,
         CASE WHEN o_orderkey % 6 = 0 THEN {NOW} + 1 END AS budget_until FROM orders),
     servers AS (SELECT s_suppkey AS server_id, CASE s_suppkey % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'startup' WHEN 2 THEN 'shutdown' ELSE 'running' END AS server_state, CASE WHEN s_suppkey % 9 = 0 THEN 0 ELSE {NOW} - s_suppkey % 60 * 10000 END AS ping_time FROM supplier)"""
@@ -27,9 +27,9 @@ PUT_BACK_SQL = f"""
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     created = F.unix_millis("o_orderdate")
-    state = F.when(k % 5 == 0, "pending").when(k % 5 == 2, "complete").when(k % 5 == 3, "failed").otherwise("running")
+    state = F.when(k % 35 == 3, "dead_letter").when(k % 5 == 0, "pending").when(k % 5 == 2, "complete").when(k % 5 == 3, "failed").otherwise("running")
     columns = {
-        "task_id": k, "name": F.col("o_orderpriority"), "server_id": F.col("o_custkey") % 100, "state": state, "created": created, "updated": created + k % 90000, "heartbeat": F.lit(NOW) - k % 240000,
+        "task_id": k, "name": F.col("o_orderpriority"), "server_id": F.col("o_custkey") % 100, "state": state, "created": created, "updated": created + k % 90000, "heartbeat": F.lit(NOW) - k * 7919 % 240000,
         "lease_until": F.lit(NOW) + k % 20001 - 10000, "next_retry_after": F.lit(NOW) + k % 3001 - 1500, "retry_count": k % 4, "max_retries": k % 3 + 1, "timeout_ms": F.lit(60000) * (k % 4),
         "budget_until": F.when(k % 6 == 0, F.lit(NOW + 1)),
     }
@@ -81,7 +81,7 @@ def t5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     "st7_circuit_breaker",
     """
     WITH r AS (SELECT user_id, event_id, value > 30 AS failed FROM events), m AS (SELECT *, sum((NOT failed)::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM r),
-    s AS (SELECT *, sum(failed::INT) OVER (PARTITION BY user_id, run ORDER BY event_id) AS streak FROM m) SELECT user_id, event_id, streak::BIGINT AS streak FROM s WHERE failed AND streak % 5 = 0""",
+    s AS (SELECT *, sum(failed::INT) OVER (PARTITION BY user_id, run ORDER BY event_id) AS streak FROM m) SELECT user_id, event_id, streak::BIGINT AS streak FROM s WHERE failed AND streak = 5""",
 )
 def st7_circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") > 30).alias("failed"))
@@ -155,19 +155,21 @@ def u5_runs_to_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     "c19_repair",
     f"""
     WITH {TASKS_SQL}, alive AS (SELECT server_id FROM servers WHERE NOT (server_state IN ('running', 'startup') AND (ping_time = 0 OR {NOW} - ping_time > 300000))),
-    per AS (SELECT server_id, bool_and(state = 'failed') AS f FROM tasks GROUP BY 1)
+    per AS (SELECT server_id, bool_and(state = 'failed') AS f FROM tasks GROUP BY 1),
+    ids AS (SELECT DISTINCT server_id FROM tasks), up AS (SELECT server_id FROM ids WHERE server_id % 3 = 2 AND server_id % 10 <> 0 AND server_id - 1 IN (SELECT server_id FROM ids))
     SELECT 'orphans' AS rule, count(*) AS n FROM tasks WHERE state = 'running' AND server_id NOT IN (SELECT server_id FROM alive) AND {NOW} - heartbeat > 60000
     UNION ALL SELECT 'reopen_runs', count(DISTINCT server_id) FROM tasks WHERE server_id % 2 = 0 AND state IN ('pending', 'running')
     UNION ALL SELECT 'retry_steps', (SELECT count(*) FROM (SELECT DISTINCT server_id FROM tasks) WHERE server_id % 3 = 1)
     UNION ALL SELECT 'reopen_steps', (SELECT count(*) FROM per WHERE f AND server_id % 3 = 0)
-    UNION ALL SELECT 'dead_letters', 0""",
+    UNION ALL SELECT 'dead_letters', count(*) FROM tasks WHERE state = 'dead_letter'
+    UNION ALL SELECT 'reset_ancestors', count(*) FROM up""",
 )
 def c19_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tasks(spark, sf_dir).withColumn("run_id", F.col("server_id")).withColumn("step_id", F.col("server_id"))
     ids = t.select("server_id").distinct()
     k = F.col("server_id")
     runs = ids.select(k.alias("run_id"), F.when(k % 2 == 0, "complete").otherwise("running").alias("run_state"))
-    steps = ids.select(k.alias("step_id"), F.when(k % 3 == 0, "complete").when(k % 3 == 1, "error").otherwise("running").alias("state"), F.when(k % 3 == 1, "Connection reset").alias("error"))
+    steps = ids.select(k.alias("step_id"), F.when(k % 3 == 0, "complete").otherwise("error").alias("state"), F.when(k % 3 == 1, "Connection reset").when(k % 3 == 2, "a step inside failed").alias("error"), F.when(k % 10 != 9, k + 1).alias("container_id"))
     found = fleet.repair(runs, steps, t, servers(spark, sf_dir), F.lit(NOW))
     out = None
     for rule, rows in found.items():
@@ -184,13 +186,15 @@ def f29_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "f26_duration",
     """
-    WITH d AS (SELECT o_orderkey, o_orderkey * 997 AS ms FROM orders)
-    SELECT o_orderkey, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN format('{:.1f}s', ms / 1000.0) WHEN ms < 3600000 THEN (ms // 60000) || 'm ' || (ms // 1000 % 60) || 's' ELSE (ms // 3600000) || 'h ' || (ms // 1000 % 3600 // 60) || 'm' END AS duration,
-           CASE WHEN ms // 1000 < 60 THEN (ms // 1000) || 's ago' WHEN ms // 1000 < 3600 THEN (ms // 60000) || 'm ago' WHEN ms // 1000 < 86400 THEN (ms // 3600000) || 'h ago' ELSE (ms // 86400000) || 'd ago' END AS ago FROM d WHERE ms % 100 <> 50""",
+    WITH d AS (SELECT o_orderkey, o_orderkey * 9973 % 400000000 AS ms FROM orders), s AS (SELECT *, ms // 1000 AS s FROM d)
+    SELECT o_orderkey, CASE WHEN ms = 0 THEN '\u2014' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' END AS duration,
+           CASE WHEN ms = 0 THEN '\u2014' WHEN s >= 86400 THEN (s // 86400) || ':' || lpad((s % 86400 // 3600)::VARCHAR, 2, '0') ELSE (s // 3600)::VARCHAR END || CASE WHEN ms = 0 THEN '' ELSE ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') END AS long,
+           CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h' || CASE WHEN s % 3600 >= 60 THEN ' ' || (s % 3600 // 60) || 'm' ELSE '' END || ' ago'
+                ELSE (s // 86400) || 'd' || CASE WHEN s % 86400 >= 3600 THEN ' ' || (s % 86400 // 3600) || 'h' ELSE '' END || ' ago' END AS ago FROM s""",
 )
 def f26_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 997).alias("ms")).filter("ms % 100 <> 50")
-    return d.select("o_orderkey", parsing.duration(F.col("ms")).alias("duration"), parsing.ago(F.lit(NOW) - F.col("ms"), F.lit(NOW)).alias("ago"))
+    d = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 9973 % 400000000).alias("ms"))
+    return d.select("o_orderkey", parsing.duration(F.col("ms")).alias("duration"), parsing.duration_long(F.col("ms")).alias("long"), parsing.ago(F.lit(NOW) - F.col("ms"), F.lit(NOW)).alias("ago"))
 
 
 @query("f27_name_parts", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'osm.' || o_orderstatus ELSE 'system.unnamespaced' END AS namespace, o_orderpriority AS short_name FROM orders")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import expressions as ex
@@ -46,6 +46,18 @@ def e13_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("l_orderkey", ex.item(F.col("v"), F.lit(0)).alias("first"), ex.item(F.col("v"), F.lit(-1)).alias("last"))
 
 
+@query("e2_input_reference", "SELECT o_orderkey, o_orderpriority AS shadowed, o_orderstatus AS nested, [o_orderkey, o_custkey] AS both, o_custkey AS last FROM orders")
+def e2_input_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Input and step references, and literals: the loop's variable hides the
+    input of its name, a property of an object is found by path."""
+    inputs = F.create_map(F.lit("item"), F.lit("hidden"), F.lit("order"), F.to_json(F.struct(F.struct(F.col("o_orderstatus").alias("status")).alias("state"))))
+    last = ex.map_literal([("a", F.col("o_orderkey")), ("b", F.lit(0).cast("long")), ("b", F.col("o_custkey"))])
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", ex.input_value(inputs, "item", loop=("item", F.col("o_orderpriority"))).alias("shadowed"), ex.input_value(inputs, "order", "state", "status").alias("nested"),
+        ex.list_literal(F.col("o_orderkey"), F.col("o_custkey")).alias("both"), ex.step_value(last, "s", "b").alias("last"),
+    )
+
+
 @query("p3_default_fill", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN o_orderpriority ELSE 'normal' END AS priority, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'all' END AS scope FROM orders")
 def p3_default_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
@@ -82,7 +94,7 @@ def c4_foreach(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT o_orderkey, 'plain', o_totalprice FROM orders WHERE NOT (o_totalprice > 200000 OR o_orderpriority = '1-URGENT')""",
 )
 def p4_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lane = lambda name, factor=1.0: lambda df: df.select("o_orderkey", F.lit(name).alias("lane"), (F.col("o_totalprice") * factor).alias("amount"))
+    lane = lambda name, factor=1.0: {"o_orderkey": F.col("o_orderkey"), "lane": F.lit(name), "amount": F.col("o_totalprice") * factor}
     cases = [(F.col("o_totalprice") > 200000, lane("large", 0.9)), (F.col("o_orderpriority") == "1-URGENT", lane("urgent"))]
     return routing.route(table(spark, sf_dir, "orders"), cases, default=lane("plain"))
 
@@ -106,7 +118,7 @@ def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("c7_catch", f"WITH {ATTEMPT_SQL} SELECT o_orderkey, CASE WHEN error_type = 'ZeroDivisionError' THEN -1.0 ELSE share END AS share, CASE WHEN error_type = 'ZeroDivisionError' THEN error END AS caught FROM t")
 def c7_catch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    handler = lambda df: df.withColumn("caught", F.col("error")).withColumn("share", F.lit(-1.0))
+    handler = {"caught": F.col("error"), "share": F.lit(-1.0)}
     return routing.catch(_attempts(spark, sf_dir), handler, when=F.col("error_type") == "ZeroDivisionError").select("o_orderkey", "share", "caught")
 
 
@@ -121,10 +133,10 @@ def c12_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", routing.option(declared, F.when(F.col("o_orderkey") % 4 == 0, F.lit(5000).cast("long"))).alias("timeout_ms"))
 
 
-@query("u4_merge_yields", "SELECT c_custkey AS id, c_name AS name, NULL::DOUBLE AS price FROM customer WHERE c_custkey < 50 UNION ALL SELECT p_partkey, NULL, p_retailprice FROM part WHERE p_partkey < 50")
+@query("u4_merge_yields", "SELECT c_custkey AS id, c_name AS name, NULL::DOUBLE AS price FROM customer UNION ALL SELECT p_partkey, NULL, p_retailprice FROM part")
 def u4_merge_yields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "customer").filter("c_custkey < 50").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    b = table(spark, sf_dir, "part").filter("p_partkey < 50").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    b = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"))
     return routing.merge(a, b)
 
 
@@ -153,11 +165,11 @@ def c16_step_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.depths(_tree(spark, sf_dir))
 
 
-LAYER_SQL = "n AS (SELECT p_partkey AS id FROM part WHERE p_partkey <= 400), e AS (SELECT id // 2 AS src, id AS dst FROM n WHERE id // 2 >= 1 UNION SELECT id - 7, id FROM n WHERE id % 5 = 0 AND id > 7)"
+LAYER_SQL = "n AS (SELECT p_partkey AS id FROM part), e AS (SELECT id // 2 AS src, id AS dst FROM n WHERE id // 2 >= 1 UNION SELECT id - 7, id FROM n WHERE id % 5 = 0 AND id > 7)"
 
 
 def _layered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    n = table(spark, sf_dir, "part").filter("p_partkey <= 400").select(F.col("p_partkey").alias("id"))
+    n = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     e = n.select(F.floor(F.col("id") / 2).cast("long").alias("src"), F.col("id").alias("dst")).filter("src >= 1")
     return n, e.unionByName(n.filter("id % 5 = 0 and id > 7").select((F.col("id") - 7).alias("src"), F.col("id").alias("dst"))).distinct()
 
@@ -183,25 +195,34 @@ def c17_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(e, spark.createDataFrame([(6,)], "id long")).select("id")
 
 
-ROADS_SQL = "roads AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id, l_partkey % 300 AS src, l_suppkey % 300 + l_linenumber AS dst, l_quantity AS length, l_returnflag AS fc, l_linestatus AS ref FROM lineitem WHERE l_orderkey <= 400)"
+RETRY_SQL = f"{LAYER_SQL}, st AS (SELECT id, CASE WHEN id % 97 = 5 THEN 'failed' WHEN id % 11 = 0 THEN 'created' ELSE 'complete' END AS state FROM n), r AS (SELECT id FROM st WHERE state = 'failed' UNION SELECT e.dst FROM r JOIN e ON e.src = r.id)"
+
+
+@query("c17_retry", f"WITH RECURSIVE {RETRY_SQL} SELECT id, 'pending' AS new_state FROM st WHERE state = 'failed' UNION ALL SELECT id, 'created' FROM r JOIN st USING (id) WHERE state = 'complete'")
+def c17_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = _layered(spark, sf_dir)
+    return graph.dependents(e, n.withColumn("state", F.when(F.col("id") % 97 == 5, "failed").when(F.col("id") % 11 == 0, "created").otherwise("complete")))
+
+
+ROADS_SQL = "roads AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id, l_partkey AS src, l_suppkey + l_linenumber AS dst, l_quantity AS length, l_returnflag AS fc, l_linestatus AS ref FROM lineitem)"
 
 
 def _roads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 400")
-    return li.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), (F.col("l_partkey") % 300).alias("src"), (F.col("l_suppkey") % 300 + F.col("l_linenumber")).alias("dst"), F.col("l_quantity").alias("length"), F.col("l_returnflag").alias("fc"), F.col("l_linestatus").alias("ref")
+    """All line items, each an edge of its part and a supplier's number."""
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), F.col("l_partkey").alias("src"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("dst"), F.col("l_quantity").alias("length"), F.col("l_returnflag").alias("fc"), F.col("l_linestatus").alias("ref")
     )
 
 
-@query("x7_shortest_path", f"WITH RECURSIVE {ROADS_SQL}, b AS (SELECT src, dst, min(length) AS length FROM (SELECT src, dst, length FROM roads UNION ALL SELECT dst, src, length FROM roads) GROUP BY 1, 2), w AS (SELECT (SELECT min(src) FROM roads) AS id, 0.0::DOUBLE AS distance, 0 AS n UNION SELECT b.dst, min(w.distance + b.length), max(w.n) + 1 FROM w JOIN b ON b.src = w.id WHERE w.n < 14 GROUP BY b.dst) SELECT id, min(distance) AS distance FROM w GROUP BY id")
+@query("x7_shortest_path")
 def x7_shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     roads = _roads(spark, sf_dir)
-    return graph.shortest(roads, roads.agg(F.min("src").alias("id")))
+    return graph.shortest(roads, roads.agg(F.min("src").alias("id")).filter("id is not null"))
 
 
-@query("graph_components", f"WITH RECURSIVE {ROADS_SQL}, b AS (SELECT src, dst FROM roads WHERE src % 7 = dst % 7 UNION SELECT dst, src FROM roads WHERE src % 7 = dst % 7), w AS (SELECT DISTINCT src AS node, src AS component FROM b UNION SELECT b.dst, w.component FROM w JOIN b ON b.src = w.node) SELECT node, min(component) AS component FROM w GROUP BY node")
+@query("graph_components")
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.component_labels(_roads(spark, sf_dir).filter("src % 7 = dst % 7"))
+    return graph.component_labels(_roads(spark, sf_dir))
 
 
 @query("graph_decision_nodes", f"WITH {ROADS_SQL}, x AS (SELECT src AS node, fc, ref FROM roads UNION ALL SELECT dst, fc, ref FROM roads) SELECT node, count(*) AS degree, count(DISTINCT fc) AS classes, count(DISTINCT ref) AS refs, count(*) <> 2 OR count(DISTINCT fc) > 1 OR count(DISTINCT ref) > 1 AS decision FROM x GROUP BY node")
@@ -211,12 +232,7 @@ def graph_decision_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("graph_merge_chains")
 def graph_merge_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all line items, each an edge of its part and a supplier's number."""
-    return graph.merge_chains(
-        table(spark, sf_dir, "lineitem").select(
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), F.col("l_partkey").alias("src"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("dst"), F.col("l_quantity").alias("length"), F.col("l_returnflag").alias("fc"), F.col("l_linestatus").alias("ref")
-        )
-    )
+    return graph.merge_chains(_roads(spark, sf_dir))
 
 
 # ---- rankings -------------------------------------------------------------
@@ -251,7 +267,12 @@ def a43_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.convergence(rounds, "debate", "round", "score").select("debate", "round", F.round("delta", 6).alias("delta"), "converged")
 
 
-@query("f23_split")
+@query(
+    "f23_split",
+    """
+    WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders)
+    SELECT o_orderkey, CASE WHEN place < floor(n * 0.7::DOUBLE) THEN 'train' WHEN place < floor(n * 0.7::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS part FROM r""",
+)
 def f23_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", {"train": 0.7, "val": 0.15, "test": 0.15})
 
@@ -289,28 +310,41 @@ def f11_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "chunk_no", "start_word", "words", F.md5("text").alias("digest"))
 
 
-@query("f12_summaries")
+SENTENCES_SQL = r"list_filter(list_transform(string_split(regexp_replace({text}, '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+PHRASE_SQL = f"""
+    pw AS (SELECT doc_id, source, list_transform({WORDS_SQL}, lambda x: regexp_replace(lower(x), '^[[:punct:]]+|[[:punct:]]+$', '', 'g')) AS w FROM documents),
+    pu AS (SELECT doc_id, source, unnest(w) AS phrase, unnest(range(1, len(w) + 1)) AS i FROM pw),
+    pf AS (SELECT doc_id, source, phrase, min(i) AS i FROM pu WHERE length(phrase) > 5 GROUP BY ALL),
+    pr AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rank FROM pf QUALIFY rank <= 5)"""
+
+
+@query(
+    "f12_summaries",
+    f"""
+    WITH {PHRASE_SQL}, s AS (SELECT doc_id, {SENTENCES_SQL.format(text="coalesce(text, '')")} AS s, text IS NULL AS none FROM documents), p AS (SELECT doc_id, string_agg(phrase, ',' ORDER BY rank) AS phrases FROM pr GROUP BY doc_id)
+    SELECT doc_id, left(CASE len(s) WHEN 0 THEN '' WHEN 1 THEN s[1] ELSE s[1] || ' ' || s[len(s)] END, 300) AS summary, coalesce(phrases, '') AS phrases FROM s LEFT JOIN p USING (doc_id)""",
+)
 def f12_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.first_and_last(F.col("text")).alias("summary"), F.array_join(text.key_phrases(F.col("text")), ",").alias("phrases"))
 
 
-KEYWORDS = {"function": ["the ", "and ", "of "], "german": ["der ", "die ", "und "], "romance": ["que ", "de ", "la "]}
+def _category_sql(rows: str, keywords: dict[str, list[str]], bonus: dict[str, str] | None = None) -> str:
+    """Category, score and confidence over ``rows(id, t)`` where t is lower case."""
+    scores = ", ".join(" + ".join([f"contains(t, '{k}')::INT" for k in listed] + ([bonus[name]] if bonus and name in bonus else [])) + f" AS {name}" for name, listed in keywords.items())
+    names = list(keywords)
+    pick = " ".join(f"WHEN {n} = best THEN '{n}'" for n in names)
+    return f"""
+        WITH d AS ({rows}), s AS (SELECT id, {scores} FROM d), b AS (SELECT *, greatest({', '.join(names)}) AS best, {' + '.join(names)} AS total FROM s)
+        SELECT id, CASE WHEN best <= 0 THEN 'other' {pick} END AS category, best::INT AS score, CASE WHEN best > 0 THEN round(best / total, 2) ELSE 0.5 END::DOUBLE AS confidence FROM b"""
 
 
-def _hits_sql(words: list[str]) -> str:
-    return " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) / {len(w)}" for w in words)
+def _categories(rows: DataFrame, key: str, c: Column) -> DataFrame:
+    return rows.select(F.col(key).alias("id"), c.alias("c")).select("id", "c.category", "c.score", "c.confidence")
 
 
-@query(
-    "f13_classify",
-    "WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), s AS (SELECT doc_id, "
-    + ", ".join(f"({_hits_sql(w)}) AS {k}" for k, w in KEYWORDS.items())
-    + """ FROM d), b AS (SELECT *, greatest(function, german, romance) AS best, function + german + romance AS total FROM s)
-    SELECT doc_id, CASE WHEN best <= 0 THEN 'other' WHEN function = best THEN 'function' WHEN german = best THEN 'german' ELSE 'romance' END AS category, round(CASE WHEN best > 0 THEN best / total ELSE 0 END, 2) AS confidence FROM b""",
-)
+@query("f13_classify", _category_sql("SELECT doc_id AS id, lower(coalesce(text, '')) AS t FROM documents", text.DOCUMENT_KEYWORDS))
 def f13_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = text.best_category(F.col("text"), KEYWORDS)
-    return table(spark, sf_dir, "documents").select("doc_id", c.alias("c")).select("doc_id", "c.category", "c.confidence")
+    return _categories(table(spark, sf_dir, "documents"), "doc_id", text.best_category(F.col("text"), text.DOCUMENT_KEYWORDS))
 
 
 @query("f14_file_kinds", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'table' ELSE 'unknown' END AS kind FROM pages")
@@ -320,12 +354,21 @@ def f14_file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", parsing.file_kind(path).alias("kind"))
 
 
-@query("f16_page_metadata", r"""SELECT page_id, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si')) AS title, regexp_extract(html, '<html[^>]*\blang=["'']([^"'']*)', 1, 'si') AS lang, len(regexp_extract_all(html, '<(h[1-3])[ >]', 1, 'si'))::INT AS headings FROM pages""")
+@query("f16_page_metadata", r"""SELECT page_id, trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si')) AS title, regexp_extract(html, '<html[^>]*\blang=["'']([^"'']*)', 1, 'si') AS lang, len(regexp_extract_all(html, '<(h[1-3])[ >]', 1, 'si'))::INT AS headings, regexp_extract(html, '<meta[^>]*name=["'']description["''][^>]*content=["'']([^"'']*)', 1, 'si') AS description, regexp_extract(html, '<link[^>]*rel=["'']canonical["''][^>]*href=["'']([^"'']*)', 1, 'si') AS canonical, regexp_extract(html, '<meta[^>]*property=["'']og:image["''][^>]*content=["'']([^"'']*)', 1, 'si') AS og_image FROM pages""")
 def f16_page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", text.page_metadata(F.col("html")).alias("m")).select("page_id", "m.title", "m.lang", "m.headings")
+    return table(spark, sf_dir, "pages").select("page_id", text.page_metadata(F.col("html")).alias("m")).select("page_id", "m.title", "m.lang", "m.headings", "m.description", "m.canonical", "m.og_image")
 
 
-@query("f17_strip_tags")
+_STEPS = [("(?is)<script\\b[^>]*>.*?</script\\s*>", " "), ("(?is)<style\\b[^>]*>.*?</style\\s*>", " "), ("(?s)<!--.*?-->", " "), ("(?s)<[^>]*>", " ")]
+PLAIN_SQL = "html"
+for _pattern, _by in _STEPS:
+    PLAIN_SQL = f"regexp_replace({PLAIN_SQL}, '{_pattern}', '{_by}', 'g')"
+for _entity, _plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    PLAIN_SQL = f"replace({PLAIN_SQL}, '{_entity}', '{_plain}')"
+PLAIN_SQL = f"trim(regexp_replace({PLAIN_SQL}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"
+
+
+@query("f17_strip_tags", f"SELECT page_id, length({PLAIN_SQL}) AS chars, md5({PLAIN_SQL}) AS digest FROM pages")
 def f17_strip_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = text.strip_tags(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", F.length(plain).alias("chars"), F.md5(plain).alias("digest"))
@@ -335,6 +378,14 @@ LINKS_SQL = r"""
     links AS (SELECT page_id, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1) AS host, unnest(regexp_extract_all(html, '<a\b[^>]*\bhref=["'']([^"'']*)["'']', 1, 'si')) AS href FROM pages)"""
 
 
+@query("f20_broken_links", f"WITH {LINKS_SQL}, k AS (SELECT *, lower(regexp_extract(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) AS to_host FROM links) SELECT page_id, count(*) FILTER (to_host <> '' AND to_host <> lower(host)) AS external_links, count(*) FILTER (href = '' OR href = '#' OR lower(href) LIKE 'javascript:%') AS broken_links FROM k GROUP BY page_id")
+def f20_broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", text.host(F.col("url")).alias("host"), F.explode(text.links(F.col("html"))).alias("href"))
+    to_host = text.host(F.col("href"))
+    dead = (F.col("href") == "") | (F.col("href") == "#") | F.lower("href").startswith("javascript:")
+    return rows.groupBy("page_id").agg(F.count_if((to_host != "") & (to_host != F.col("host"))).alias("external_links"), F.count_if(dead).alias("broken_links"))
+
+
 @query("f20_links", f"WITH {LINKS_SQL} SELECT page_id, count(*) AS total_links, count(*) FILTER (href LIKE '/%' OR lower(regexp_extract(href, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1)) = lower(host)) AS internal_links FROM links GROUP BY page_id")
 def f20_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", text.host(F.col("url")).alias("host"), F.explode(text.links(F.col("html"))).alias("href"))
@@ -352,14 +403,20 @@ def u2_distinct_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(parsing.url_key(F.col("url")).alias("url")).agg(F.min("page_id").alias("first_page"))
 
 
-@query("f18_page_type")
+def _page_type_sql() -> str:
+    path = r"trim(lower(regexp_replace(regexp_replace(coalesce(url, ''), '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*', '')), '/')"
+    named = " ".join("WHEN " + " OR ".join(f"contains(path, '{p}')" for p in parts) + f" THEN '{name}'" for name, parts in text.PATH_SIGNALS.items())
+    rows = f"""SELECT id, t, CASE WHEN path IN ('', 'index', 'home') THEN 'homepage' {named} END AS named
+        FROM (SELECT page_id AS id, lower(coalesce(html, '')) || chr(10) || lower(coalesce(url, '')) AS t, {path} AS path FROM pages)"""
+    return _category_sql(rows, text.PAGE_SIGNALS, {n: f"(CASE WHEN named = '{n}' THEN {text.PATH_BONUS} ELSE 0 END)" for n in text.PAGE_SIGNALS})
+
+
+@query("f18_page_type", _page_type_sql())
 def f18_page_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = {"article": ["<article", "<p>"], "listing": ["<li>", "<ul"], "form": ["<form", "<input"]}
-    bonus = {"listing": F.when(F.col("url").contains("page="), 3.0).otherwise(0.0)}
-    return table(spark, sf_dir, "pages").select("page_id", text.best_category(F.col("html"), signals, bonus).alias("c")).select("page_id", "c.category", "c.score")
+    return _categories(table(spark, sf_dir, "pages"), "page_id", text.page_type(F.col("url"), F.col("html")))
 
 
-@query("f19_page_summary")
+@query("f19_page_summary", f"WITH p AS (SELECT page_id, {PLAIN_SQL} AS t FROM pages), s AS (SELECT page_id, list_filter({SENTENCES_SQL.format(text='t')}, lambda x: length(x) > 20) AS s FROM p) SELECT page_id, left(array_to_string(s[1:3], ' '), 500) AS summary FROM s")
 def f19_page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = text.strip_tags(F.col("html"))
     return table(spark, sf_dir, "pages").select("page_id", text.opening(plain).alias("summary"))
@@ -368,11 +425,22 @@ def f19_page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a38_site_report", f"WITH {LINKS_SQL}, n AS (SELECT page_id, host, count(*) AS links FROM links GROUP BY 1, 2) SELECT host, count(*) AS pages, sum(links)::BIGINT AS links, left(array_to_string(list_sort(list(page_id::VARCHAR)), ','), 2000) AS listed FROM n GROUP BY host")
 def a38_site_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", text.host(F.col("url")).alias("host"), F.size(text.links(F.col("html"))).alias("links")).filter("links > 0")
-    listed = F.left(F.array_join(F.sort_array(F.collect_list(F.col("page_id").cast("string"))), ","), F.lit(2000))
-    return rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("links").alias("links"), listed.alias("listed"))
+    totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.sum("links").alias("links"))
+    # an id and its comma take two characters or more, so 1,000 ids fill 2,000: the
+    # first of the parts of a host, then of the host
+    first = rows.select("host", F.col("page_id").cast("string").alias("id")).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    for keys in (["host", "_part"], ["host"]):
+        first = first.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).filter("_rank <= 1001")
+    listed = F.left(F.array_join(F.sort_array(F.collect_list("id")), ","), F.lit(2000))
+    return totals.join(first.groupBy("host").agg(listed.alias("listed")), "host")
 
 
-@query("a39_merge_phrases")
+@query(
+    "a39_merge_phrases",
+    f"""
+    WITH {PHRASE_SQL}, f AS (SELECT source, phrase, min((doc_id, rank)) AS seen FROM pr GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seen) AS n FROM f QUALIFY n <= 15)
+    SELECT source, string_agg(phrase, ',' ORDER BY n) AS phrases FROM k GROUP BY source""",
+)
 def a39_merge_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.posexplode(text.key_phrases(F.col("text"))).alias("at", "phrase"))
     first = rows.groupBy("source", "phrase").agg(F.min(F.struct("doc_id", "at")).alias("seen"))

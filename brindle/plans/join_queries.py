@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.geo import drive_estimate, haversine
-from brindle.operators import joins
+from brindle.operators import joins, stations
 from brindle.plans.registry import query, table
 
 POINT_SQL = "({k} * 7919 % 36000) / 100.0::DOUBLE - 180 AS lon, ({k} * 104729 % 16000) / 100.0::DOUBLE - 80 AS lat"
@@ -51,15 +51,15 @@ def j2_overwrite_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "j3_merge_tables",
     """
-    WITH a AS (SELECT n_nationkey::BIGINT AS id, n_name AS name, n_regionkey AS region FROM nation WHERE n_nationkey < 18),
-    b AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS name FROM supplier WHERE s_suppkey BETWEEN 5 AND 30),
-    c AS (SELECT p_partkey AS id, p_brand AS brand FROM part WHERE p_partkey <= 12)
+    WITH a AS (SELECT n_nationkey::BIGINT AS id, n_name AS name, n_regionkey AS region FROM nation),
+    b AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS name FROM supplier),
+    c AS (SELECT p_partkey AS id, p_brand AS brand FROM part)
     SELECT id, CASE WHEN b.id IS NOT NULL THEN b.name ELSE a.name END AS name, region, brand FROM a FULL JOIN b USING (id) FULL JOIN c USING (id)""",
 )
 def j3_merge_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "nation").filter("n_nationkey < 18").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    b = table(spark, sf_dir, "supplier").filter("s_suppkey between 5 and 30").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.col("s_name")).alias("name"))
-    c = table(spark, sf_dir, "part").filter("p_partkey <= 12").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
+    a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.col("s_name")).alias("name"))
+    c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
     return joins.merge_tables([a, b, c], "id")
 
 
@@ -236,6 +236,67 @@ def j14_anchor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return far.select("s_nationkey", F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), F.round("metres", 2).alias("metres"))
 
 
+@query("j14_sampled_pairs", f"WITH {PAIRS_SQL} SELECT s_nationkey, a, b FROM pairs WHERE metres >= 150000 QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY md5(a || '-' || b)) <= 3")
+def j14_sampled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample is the feature: three pairs of each nation in hashed order."""
+    pairs = joins.sampled_pairs(suppliers(spark, sf_dir), "s_nationkey", "s_suppkey", 150_000.0, 3)
+    return pairs.select("s_nationkey", F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"))
+
+
+SNAP_SQL = """
+    p AS (SELECT c_custkey, 8 + c_custkey % 400 / 4000.0::DOUBLE AS lon, 47 + c_custkey % 77 / 7700.0::DOUBLE AS lat FROM customer),
+    s AS (SELECT p_partkey AS edge, 8 + p_partkey % 40 / 400.0::DOUBLE AS x1, 47 + p_partkey % 11 / 1100.0::DOUBLE AS y1, 8 + (p_partkey % 40 + 3) / 400.0::DOUBLE AS x2, 47 + (p_partkey % 11 + 1 + p_partkey % 3) / 1100.0::DOUBLE AS y2 FROM part WHERE p_partkey % 2 = 0),
+    t AS (SELECT *, cos(radians(lat)) AS k, (x2 - x1) * cos(radians(lat)) AS dx, y2 - y1 AS dy FROM p, s),
+    u AS (SELECT *, least(greatest(((lon - x1) * k * dx + (lat - y1) * dy) / (dx * dx + dy * dy), 0.0), 1.0) AS f FROM t),
+    v AS (SELECT c_custkey, edge, 2 * 6371000 * asin(sqrt(power(sin(radians(y1 + f * (y2 - y1) - lat) / 2), 2) + cos(radians(lat)) * cos(radians(y1 + f * (y2 - y1))) * power(sin(radians(x1 + f * (x2 - x1) - lon) / 2), 2))) AS metres FROM u)"""
+
+
+@query("x13_snap", f"WITH {SNAP_SQL} SELECT c_custkey, round(min(metres), 2) AS metres FROM v WHERE metres < 50 GROUP BY c_custkey")
+def x13_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, e = F.col("c_custkey"), F.col("p_partkey")
+    points = table(spark, sf_dir, "customer").select("c_custkey", (8 + k % 400 / 4000.0).alias("lon"), (47 + k % 77 / 7700.0).alias("lat"))
+    ends = [(8 + e % 40 / 400.0).alias("x1"), (47 + e % 11 / 1100.0).alias("y1"), (8 + (e % 40 + 3) / 400.0).alias("x2"), (47 + (e % 11 + 1 + e % 3) / 1100.0).alias("y2")]
+    edges = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(e.alias("edge"), *ends)
+    return joins.snap(points, edges, "c_custkey", "edge").select("c_custkey", F.round("metres", 2).alias("metres"))
+
+
+@query("x14_convex_hull")
+def x14_convex_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hulls of the places of each order status's orders."""
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", *point(F.col("o_orderkey")))
+    return joins.convex_hull(rows, "o_orderstatus")
+
+
+STATE_POINT_SQL = "p AS (SELECT c_custkey, -125 + (c_custkey * 7919 % 5800) / 100.0::DOUBLE AS lon, 25 + (c_custkey * 104729 % 2500) / 100.0::DOUBLE AS lat FROM customer)"
+BOXES_SQL = ", ".join(f"('{s}', {a}, {b}, {c}, {d})" for s, (a, b, c, d) in stations.STATE_BOXES.items())
+
+
+def _state_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", (-125 + (k * 7919 % 5800) / 100.0).alias("lon"), (25 + (k * 104729 % 2500) / 100.0).alias("lat"))
+
+
+@query("p8_states", f"WITH {STATE_POINT_SQL}, b(state, a, c, d, e) AS (VALUES {BOXES_SQL}) SELECT state, count(*) AS places, count(*) FILTER (state = 'TX') AS texan FROM p JOIN b ON lat BETWEEN a AND c AND lon BETWEEN d AND e GROUP BY state")
+def p8_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _state_points(spark, sf_dir)
+    rows = p.select(F.explode(stations.states_of(F.col("lat"), F.col("lon"))).alias("state"), stations.in_state(F.col("lat"), F.col("lon"), F.lit("tx")).alias("tx"))
+    return rows.groupBy("state").agg(F.count(F.lit(1)).alias("places"), F.count_if(F.col("tx") & (F.col("state") == "TX")).alias("texan"))
+
+
+@query("p9_active_stations", f"WITH {STATE_POINT_SQL} SELECT c_custkey FROM p JOIN customer USING (c_custkey) WHERE c_nationkey = 7 AND c_custkey % 10 <> 0 AND c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 10")
+def p9_active_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").withColumn("country", F.when(F.col("c_nationkey") == 7, "US").otherwise("XX")).withColumnRenamed("c_mktsegment", "state")
+    rows = c.join(_state_points(spark, sf_dir), "c_custkey").withColumns({n: F.when(F.col("c_custkey") % 10 == 0, 0.0).otherwise(F.col(n)) for n in ("lat", "lon")})
+    return stations.active_stations(rows, "c_custkey", "US", "BUILDING", 10).select("c_custkey")
+
+
+@query("p10_buoys", f"WITH {STATE_POINT_SQL} SELECT c_custkey AS station_id FROM p JOIN customer USING (c_custkey) WHERE lat BETWEEN 30 AND 45 AND lon BETWEEN -120 AND -80 AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 2 = 0 AND c_custkey % 3 = 0 ORDER BY 1 LIMIT 25")
+def p10_buoys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").join(_state_points(spark, sf_dir), "c_custkey")
+    rows = c.select(F.col("c_custkey").alias("station_id"), "lat", "lon", F.col("c_mktsegment").alias("type"), (F.col("c_custkey") % 2 == 0).alias("met"), (F.col("c_custkey") % 3 == 0).alias("dart"))
+    return stations.buoys(rows, (30.0, 45.0, -120.0, -80.0), {"BUILDING", "MACHINERY"}, ("met", "dart"), 25).select("station_id")
+
+
 @query("x8_route_totals", f"WITH {PAIRS_SQL} SELECT s_nationkey, count(*) AS pairs, round(sum(metres) / 1000 * 1.3, 3) AS km, round(sum(metres) / 1000 * 1.3 / 80 * 60, 2) AS minutes FROM pairs GROUP BY s_nationkey")
 def x8_route_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     est = drive_estimate(F.col("metres"))

@@ -22,6 +22,7 @@ FEATURE_SQL = """
                  (p_size % 9)::VARCHAR AS admin_level,
                  CASE WHEN p_size % 5 = 0 THEN 'park' WHEN p_size % 5 = 1 THEN 'nature_reserve' END AS leisure,
                  CASE WHEN p_size % 6 < 5 THEN (p_size % 6)::VARCHAR END AS protect_class,
+                 CASE p_size % 7 WHEN 1 THEN 'National_Park of x' WHEN 2 THEN 'regional park' WHEN 3 THEN 'A Provincial_Park' WHEN 4 THEN 'state park' WHEN 5 THEN 'nature reserve' END AS designation,
                  p_brand AS brand, p_size, p_retailprice
           FROM part)"""
 
@@ -34,6 +35,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "admin_level": (size % 9).cast("string"),
         "leisure": F.when(size % 5 == 0, "park").when(size % 5 == 1, "nature_reserve"),
         "protect_class": F.when(size % 6 < 5, (size % 6).cast("string")),
+        "designation": F.when(size % 7 == 1, "National_Park of x").when(size % 7 == 2, "regional park").when(size % 7 == 3, "A Provincial_Park").when(size % 7 == 4, "state park").when(size % 7 == 5, "nature reserve"),
         "brand": F.col("p_brand"),
     }
     entries = F.map_filter(F.create_map(*[x for n, c in tags.items() for x in (F.lit(n), c)]), lambda _, v: v.isNotNull())
@@ -66,7 +68,7 @@ def p12_equivalent_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("s_suppkey", radius.alias("r")).filter(maps.compare(F.col("r"), ">", 8000.0)).select("s_suppkey", F.round("r", 2).alias("radius_m"))
 
 
-@query("p13_unit_conversion", "SELECT p_partkey, round(p_size * 1609.344, 6) AS metres, round(p_size * (1.0 / 1.609344), 6) AS miles FROM part")
+@query("p13_unit_conversion", "SELECT p_partkey, round(p_size * 1609.344::DOUBLE, 6) AS metres, round(p_size * (1.0::DOUBLE / 1.609344::DOUBLE), 6) AS miles FROM part")
 def p13_unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("double")
     return table(spark, sf_dir, "part").select("p_partkey", F.round(parsing.convert_distance(size, "mi", "m"), 6).alias("metres"), F.round(parsing.convert_distance(size, "km", "mi"), 6).alias("miles"))
@@ -99,9 +101,11 @@ def p18_name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PARK_SQL = f"""
     {FEATURE_SQL}, parks AS (
-        SELECT id, protect_class, CASE WHEN boundary = 'national_park' OR protect_class = '2' OR lower(name) LIKE '%national park%' THEN 'national_park'
-               WHEN lower(name) LIKE '%state park%' OR protect_class = '5' THEN 'state_park' WHEN leisure = 'nature_reserve' OR protect_class IN ('1a', '1b', '4') THEN 'nature_reserve'
-               WHEN boundary = 'protected_area' THEN 'protected_area' WHEN leisure = 'park' THEN 'park' ELSE 'other' END AS park_class FROM f)"""
+        SELECT id, protect_class, CASE
+            WHEN boundary = 'national_park' OR protect_class = '2' OR regexp_matches(designation, 'national[_ ]park', 'i') THEN 'national'
+            WHEN protect_class = '5' OR regexp_matches(designation, '(state|regional|provincial)[_ ]park', 'i') THEN 'state'
+            WHEN leisure = 'nature_reserve' OR protect_class IN ('1a', '1b') OR regexp_matches(designation, 'nature[_ ]reserve', 'i') THEN 'nature_reserve'
+            WHEN boundary = 'protected_area' THEN 'protected_area' WHEN leisure = 'park' THEN 'park' ELSE 'protected_area' END AS park_class FROM f)"""
 
 
 @query("f6_park_class", f"WITH {PARK_SQL} SELECT id, park_class FROM parks")
@@ -109,7 +113,79 @@ def f6_park_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).select("id", maps.park_class().alias("park_class"))
 
 
-@query("p19_park_filter", f"WITH {PARK_SQL} SELECT id FROM parks WHERE park_class IN ('protected_area', 'national_park', 'state_park', 'nature_reserve') AND coalesce(protect_class IN ('2', '4'), true)")
+TAGGED_SQL = """
+    t AS (SELECT l_orderkey, l_linenumber, [{values}][1 + (l_partkey % {n})::INT] AS v, CASE WHEN l_suppkey % 5 = 0 THEN 'yes' END AS shop,
+                 CASE l_suppkey % 7 WHEN 1 THEN 'hotel' WHEN 2 THEN 'museum' WHEN 3 THEN 'camp' END AS tourism, CASE WHEN l_suppkey % 3 = 1 THEN 'library' END AS amenity2, CASE WHEN l_suppkey % 11 = 0 THEN 'it' END AS office FROM lineitem)"""
+
+
+def _values(classes: dict[str, list[str]]) -> list[str]:
+    return [v for values in classes.values() for v in values] + ["unheard of", "yes"]
+
+
+def _tagged_sql(classes: dict[str, list[str]], ladder: str) -> str:
+    values = _values(classes)
+    cases = " ".join(f"WHEN v IN ({', '.join(repr(x) for x in listed)}) THEN '{name}'" for name, listed in classes.items())
+    rows = TAGGED_SQL.format(values=", ".join(map(repr, values)), n=len(values))
+    return f"WITH {rows} SELECT l_orderkey, l_linenumber, CASE {cases} {ladder} ELSE 'other' END AS class FROM t"
+
+
+def _tagged(spark: SparkSession, sf_dir: str, key: str, classes: dict[str, list[str]], **others) -> DataFrame:
+    values = _values(classes)
+    value = F.element_at(F.array(*map(F.lit, values)), (F.col("l_partkey") % len(values)).cast("int") + 1)
+    tags = F.create_map(*[x for k, c in {key: value, **others}.items() for x in (F.lit(k), c)])
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.map_filter(tags, lambda _, v: v.isNotNull()).alias("tags"))
+
+
+@query("f6_road_class", _tagged_sql(maps.ROAD_CLASSES, ""))
+def f6_road_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tagged(spark, sf_dir, "highway", maps.ROAD_CLASSES).select("l_orderkey", "l_linenumber", maps.road_class().alias("class"))
+
+
+@query("f6_amenity_class", _tagged_sql(maps.AMENITY_CLASSES, "WHEN shop IS NOT NULL THEN 'shopping' WHEN tourism = 'hotel' THEN 'services' WHEN tourism = 'museum' THEN 'entertainment'"))
+def f6_amenity_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_suppkey")
+    tourism = F.when(k % 7 == 1, "hotel").when(k % 7 == 2, "museum").when(k % 7 == 3, "camp")
+    return _tagged(spark, sf_dir, "amenity", maps.AMENITY_CLASSES, shop=F.when(k % 5 == 0, "yes"), tourism=tourism).select("l_orderkey", "l_linenumber", maps.amenity_class().alias("class"))
+
+
+@query("f6_building_class", _tagged_sql(maps.BUILDING_CLASSES, "WHEN amenity2 = 'library' THEN 'public' WHEN shop IS NOT NULL THEN 'retail' WHEN office IS NOT NULL THEN 'office'"))
+def f6_building_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("l_suppkey")
+    rows = _tagged(spark, sf_dir, "building", maps.BUILDING_CLASSES, shop=F.when(k % 5 == 0, "yes"), amenity=F.when(k % 3 == 1, "library"), office=F.when(k % 11 == 0, "it"))
+    return rows.select("l_orderkey", "l_linenumber", maps.building_class().alias("class"))
+
+
+LOAD_KINDS = [("routes", "bicycle"), ("roads", "major"), ("amenities", "food"), ("parks", "national"), ("parks", "nature_reserve"), ("buildings", "house"), ("boundaries", "all"), ("population", "city"), ("pois", "all")]
+
+
+@query(
+    "s21_category_loads",
+    f"""
+    WITH {FEATURE_SQL}, g AS (SELECT *, CASE id % 5 WHEN 0 THEN 'mtb' WHEN 1 THEN 'bus' END AS route, CASE id % 6 WHEN 0 THEN 'primary_link' WHEN 1 THEN 'track' END AS highway,
+        CASE id % 4 WHEN 0 THEN 'pub' WHEN 1 THEN 'bank' END AS amenity, CASE id % 3 WHEN 0 THEN 'house' END AS building, CASE WHEN id % 7 = 0 THEN 'many' ELSE (p_size * 100)::VARCHAR END AS population FROM f),
+    l AS (SELECT 'routes' AS category, 'bicycle' AS kind FROM g WHERE route = 'mtb' UNION ALL SELECT 'roads', 'major' FROM g WHERE highway = 'primary_link' UNION ALL SELECT 'amenities', 'food' FROM g WHERE amenity = 'pub'
+        UNION ALL SELECT 'parks', 'national' FROM g WHERE boundary = 'national_park' OR protect_class = '2' UNION ALL SELECT 'parks', 'nature_reserve' FROM g WHERE leisure = 'nature_reserve'
+        UNION ALL SELECT 'buildings', 'house' FROM g WHERE building = 'house' UNION ALL SELECT 'boundaries', 'all' FROM g UNION ALL SELECT 'population', 'city' FROM g WHERE place = 'city' AND coalesce(try_cast(population AS BIGINT), 0) >= 0
+        UNION ALL SELECT 'pois', 'all' FROM g)
+    SELECT category, kind, count(*) AS features FROM l GROUP BY ALL""",
+)
+def s21_category_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("id"), F.col("p_size")
+    more = {
+        "route": F.when(k % 5 == 0, "mtb").when(k % 5 == 1, "bus"), "highway": F.when(k % 6 == 0, "primary_link").when(k % 6 == 1, "track"), "amenity": F.when(k % 4 == 0, "pub").when(k % 4 == 1, "bank"),
+        "building": F.when(k % 3 == 0, "house"), "population": F.when(k % 7 == 0, "many").otherwise((size * 100).cast("string")),
+    }
+    tags = F.map_concat("tags", F.map_filter(F.create_map(*[x for n, c in more.items() for x in (F.lit(n), c)]), lambda _, v: v.isNotNull()))
+    rows = maps.loads(features(spark, sf_dir).withColumn("tags", tags).drop("kind"), LOAD_KINDS)
+    return rows.groupBy("category", "kind").agg(F.count(F.lit(1)).alias("features"))
+
+
+@query("p30_strip_columns", "SELECT c_custkey, c_mktsegment FROM customer")
+def p30_strip_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maps.strip_columns(table(spark, sf_dir, "customer"), {"c_acctbal"}, ["c_na"])
+
+
+@query("p19_park_filter", f"WITH {PARK_SQL} SELECT id FROM parks WHERE park_class IN ('protected_area', 'national', 'state', 'nature_reserve') AND coalesce(protect_class IN ('2', '4'), true)")
 def p19_park_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(spark, sf_dir).filter(maps.park_matches("protected_area", ["2", "4"])).select("id")
 
@@ -420,7 +496,7 @@ def f5_parse_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "f7_class_score",
     """
-    WITH e AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.5 ELSE 0.1 END + CASE WHEN l_partkey % 3 = 0 THEN 0.05 ELSE 0 END + CASE WHEN l_tax > 0.06 THEN 0.03 ELSE 0 END
+    WITH e AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 1.0 WHEN 'N' THEN 0.60 ELSE 0.18 END + CASE WHEN l_partkey % 3 = 0 THEN 0.05 ELSE 0 END + CASE WHEN l_tax > 0.06 THEN 0.03 ELSE 0 END
         - CASE WHEN l_discount > 0.05 THEN 0.10 ELSE 0 END - CASE WHEN l_linestatus = 'F' THEN 0.15 ELSE 0 END AS s FROM lineitem)
     SELECT l_orderkey, l_linenumber, round(least(greatest(s, 0), 1)::DOUBLE, 6) AS fc_score FROM e""",
 )
@@ -434,14 +510,14 @@ def f7_class_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "f8_zoom_scores",
     """
-    WITH z(zoom, a, b) AS (VALUES (2, 0.7, 0.3), (3, 0.65, 0.35), (4, 0.6, 0.4), (5, 0.5, 0.5), (6, 0.4, 0.6), (7, 0.3, 0.7))
-    SELECT p_partkey AS edge_id, zoom::INT AS zoom, round(least(greatest(a * (p_size % 11) / 10.0 + b * (p_size % 7) / 6.0::DOUBLE + CASE WHEN p_size % 4 = 0 THEN 0.03 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 0.02 ELSE 0 END + CASE WHEN p_size % 9 = 0 THEN 0.05 ELSE 0 END, 0), 1.2)::DOUBLE, 6) AS score
+    WITH z(zoom, a, b, w) AS (VALUES (2, 0.75, 0.25, 0.03), (3, 0.70, 0.30, 0.03), (4, 0.65, 0.35, 0.08), (5, 0.60, 0.40, 0.08), (6, 0.55, 0.45, 0.08), (7, 0.50, 0.50, 0.04))
+    SELECT p_partkey AS edge_id, zoom::INT AS zoom, round(least(greatest(a * (p_size % 11) / 10.0 + b * (p_size % 7) / 6.0::DOUBLE + CASE WHEN p_size % 4 = 0 THEN 0.05 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 0.03 ELSE 0 END + CASE WHEN p_size % 9 = 0 THEN w ELSE 0 END + CASE WHEN p_size % 8 = 0 THEN w ELSE 0 END, 0), 1.2)::DOUBLE, 6) AS score
     FROM part, z""",
 )
 def f8_zoom_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size")
     edges = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("edge_id"), (size % 11 / 10.0).alias("backbone"), (size % 7 / 6.0).alias("fc_score"), (size % 4 == 0).alias("structure"), (size % 3 == 0).alias("has_ref"), (size % 9 == 0).alias("ring")
+        F.col("p_partkey").alias("edge_id"), (size % 11 / 10.0).alias("backbone"), (size % 7 / 6.0).alias("fc_score"), (size % 4 == 0).alias("structure"), (size % 3 == 0).alias("has_ref"), (size % 9 == 0).alias("ring"), (size % 8 == 0).alias("bypass")
     )
     return maps.zoom_scores(edges).select("edge_id", "zoom", F.round("score", 6).alias("score"))
 
@@ -461,17 +537,38 @@ def a35_vote_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.votes_to_score(votes, ["l_returnflag"], "c").select("l_suppkey", "l_returnflag", "c", F.round("score", 6).alias("score"))
 
 
+@query(
+    "f9_cell_budgets",
+    """
+    WITH c AS (SELECT l_suppkey AS cell, sum(l_quantity::DECIMAL(18,4))::DOUBLE / 1000 AS road_km FROM lineitem GROUP BY 1), d AS (SELECT *, road_km / 5.0::DOUBLE AS density FROM c),
+    z(zoom, base, floor_km) AS (VALUES (2, 80.0, 10.0), (3, 160.0, 20.0), (4, 260.0, 40.0), (5, 420.0, 70.0), (6, 650.0, 120.0), (7, 900.0, 180.0)),
+    f AS (SELECT *, (CASE WHEN density < 0.2 THEN 1.3 WHEN density < 1.0 THEN 1.0 WHEN density < 5.0 THEN 0.6 ELSE 0.4 END)::DOUBLE AS density_factor FROM d)
+    SELECT cell, zoom::INT AS zoom, density_factor, base::DOUBLE * density_factor AS budget_km, floor_km::DOUBLE AS floor_km FROM f, z""",
+)
+def f9_cell_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cell"), (F.col("l_quantity") / 1000).alias("km"))
+    return maps.cell_budgets(edges, "cell", 5.0).select("cell", "zoom", "density_factor", "budget_km", "floor_km")
+
+
 @query("t4_greedy_budget")
 def t4_greedy_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items as edges; every seventh cell has anchors and a floor."""
     li = table(spark, sf_dir, "lineitem")
-    rows = li.select((2 + F.col("l_linenumber") % 6).cast("int").alias("zoom"), F.col("l_suppkey").alias("cell"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), F.col("l_quantity").alias("km"), F.round(F.col("l_extendedprice") / 1000, 1).alias("score"), F.lit(150.0).alias("budget_km"))
+    rows = li.select(
+        (2 + F.col("l_linenumber") % 6).cast("int").alias("zoom"), F.col("l_suppkey").alias("cell"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"), F.col("l_quantity").alias("km"), F.round(F.col("l_extendedprice") / 1000, 1).alias("score"),
+        F.lit(150.0).alias("budget_km"), F.when(F.col("l_suppkey") % 7 == 0, 170.0).otherwise(0.0).alias("floor_km"),
+    )
     return maps.greedy_budget(rows, "zoom", "cell")
 
 
-@query("x12_ring_test", "SELECT l_suppkey, round(stddev_pop(l_quantity) / avg(l_quantity), 6) AS cv, count(*) FILTER (l_tax > 0.04)::BIGINT AS votes, count(*) AS n, stddev_pop(l_quantity) / avg(l_quantity) <= 0.56 AND count(*) FILTER (l_tax > 0.04) >= greatest(2.0, 0.05 * count(*)) AS ring FROM lineitem GROUP BY 1")
+RING_SQL = "stddev_pop(l_quantity) / avg(l_quantity) <= 0.56 AND count(*) FILTER (l_tax > 0.04) >= greatest(2.0, 0.05 * count(*)) AND count(l_quantity) >= 10 AND avg(l_quantity) BETWEEN 1.5 * 17 AND 1.2 * min(l_quantity + 21)"
+
+
+@query("x12_ring_test", f"SELECT l_suppkey, round(stddev_pop(l_quantity) / avg(l_quantity), 6) AS cv, count(*) FILTER (l_tax > 0.04)::BIGINT AS votes, count(*) AS n, {RING_SQL} AS ring FROM lineitem GROUP BY 1")
 def x12_ring_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("vote", (F.col("l_tax") > 0.04).cast("int"))
-    return maps.ring_test(rows, ["l_suppkey"], "l_quantity", "vote", 0.56).withColumn("cv", F.round("cv", 6))
+    found = maps.ring_test(rows, ["l_suppkey"], "l_quantity", "vote", 0.56, F.min(F.lit(17.0)), F.min(F.col("l_quantity") + 21))
+    return found.select("l_suppkey", F.round("cv", 6).alias("cv"), "votes", "n", "ring")
 
 
 W4_SQL = f"""
@@ -488,7 +585,7 @@ def w4_min_max_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "w10_suitability",
-    f"WITH {W4_SQL}, d AS (SELECT county, round(np * 0.4 + ni * 0.6, 4) AS demand, coalesce((county % 17) * 1000.0 / nullif(population, 0), 0.0) AS per FROM scaled) SELECT county, demand, round(demand * 100 / (1 + per), 2) AS suitability FROM d",
+    f"WITH {W4_SQL}, d AS (SELECT county, round(np::DECIMAL(18,12) * 0.4 + ni::DECIMAL(18,12) * 0.6, 4)::DOUBLE AS demand, coalesce((county % 17) * 1000.0 / nullif(population, 0), 0.0) AS per FROM scaled) SELECT county, demand, round((demand * 100 / (1 + per))::DECIMAL(18,9), 2)::DOUBLE AS suitability FROM d",
 )
 def w10_suitability(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _counties(spark, sf_dir).withColumn("rivals", F.col("county") % 17)

@@ -107,6 +107,42 @@ def upsert(store: DataFrame, changes: DataFrame, keys: list[str], order: str) ->
     return merged.select(*keys, "_row.*").select(*store.columns)
 
 
+def ingest(store: DataFrame | None, rows: DataFrame, dataset: str, key: Column, facet: str, kind: str, at_ms: int) -> DataFrame:
+    """A keyed store of records after rows with ``properties`` (map) and, if
+    they have one, ``geometry`` came in: one record per dataset and feature
+    key, of which the newest load wins. A null key counts as empty; of rows of
+    one load that share a key, one with the greatest properties text stays."""
+    shape = F.struct(F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("coordinates"))
+    geometry = F.col("geometry") if "geometry" in rows.columns else F.when(F.lit(False), shape)
+    fresh = rows.select(
+        F.lit(dataset).alias("dataset_key"), F.coalesce(key.cast("string"), F.lit("")).alias("feature_key"), F.lit(facet).alias("facet_name"), F.lit(kind).alias("data_type"),
+        F.col("properties").alias("properties"), geometry.alias("geometry"), F.lit(at_ms).cast("long").alias("imported_at"),
+    )
+    both = fresh if store is None else store.select(*fresh.columns).unionByName(fresh)
+    fields = [c for c in fresh.columns if c not in ("dataset_key", "feature_key")]
+    newest = F.max_by(F.struct(*fields), F.struct("imported_at", F.to_json("properties")))
+    return both.groupBy("dataset_key", "feature_key").agg(newest.alias("_row")).select("dataset_key", "feature_key", "_row.*")
+
+
+def csv_records(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Rows of a CSV as ``properties`` maps of texts."""
+    raw = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("header", True).csv(path)
+    return raw.select(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(f"`{c}`"))]).alias("properties"))
+
+
+def json_records(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of JSON objects as ``properties`` maps of texts."""
+    return spark.read.text(path).select(F.from_json("value", "map<string,string>").alias("properties")).filter("properties is not null")
+
+
+def write_features(features: DataFrame, path: str, keep: Column) -> DataFrame:
+    """Features (properties, geometry) that a condition keeps, written one per
+    line, and read back."""
+    geometry = F.struct(F.col("geometry.type").alias("type"), F.try_parse_json("geometry.coordinates").alias("coordinates"))
+    features.filter(keep).select(F.to_json(F.struct(F.lit("Feature").alias("type"), "properties", geometry.alias("geometry")))).write.text(path)
+    return read_feature_lines(features.sparkSession, path)
+
+
 def load(df: DataFrame, target: str, mode: str = "append") -> dict:
     """Write and report: rows written are counted while writing."""
     from pyspark.sql import Observation

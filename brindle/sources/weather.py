@@ -81,7 +81,8 @@ def read_station_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_buoys_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Active buoy stations; y/n attributes become booleans."""
+    """Active buoy stations; y/n attributes become booleans. Each file is one
+    XML document with a root of its own."""
     schema = "_id string, _lat string, _lon string, _name string, _owner string, _type string, _met string, _currents string, _waterquality string, _dart string"
     raw = spark.read.format("xml").option("rowTag", "station").schema(schema).load(path)
     flags = [(F.lower(F.coalesce(f"_{f}", F.lit("n"))) == "y").alias(f) for f in ("met", "currents", "waterquality", "dart")]

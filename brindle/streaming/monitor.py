@@ -108,6 +108,17 @@ def drain_to(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def drain_complete(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregating stream over what is there and read back all of its
+    groups, those before the watermark's end too."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    q = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def limit_column(values: dict[str, float], key: Column, default: float) -> Column:
     found = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
     return F.coalesce(F.try_element_at(found, key), F.lit(default))
