@@ -131,6 +131,33 @@ def test_mixing_targets_and_takes(spark):
     assert mixed.columns == df.columns and abs(sum(len(WORD.findall(r["text"] or "")) for r in mixed.collect()) - 1.5 * sum(sizes.values())) < 0.05 * sum(sizes.values())
 
 
+def test_mixing_in_many_shards_and_groups(spark):
+    rows = [(k, "w " * (1 + k % 7), ["a", "b"][k % 3 > 0], k % 2) for k in range(3000)] + [(None, f"n{k} x", "a", 0) for k in range(300)] + [(7777, "same words here", "b", 0)] * 900
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    options = {"shard_rows": 50, "shard_group": 4, "alike": 100}
+    got = mixing.mix(df, **options).collect()
+    assert len(got) == len(rows)
+    for source, want in {(r["source_size"], r["target"]) for r in got}:
+        taken = sum(r["taken"] for r in got if r["source_size"] == source)
+        assert abs(taken - want) <= 0.02 * want, (taken, want)
+    assert all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(5), **options).collect()))
+    mixed = mixing.mixed_documents(df, **options)
+    assert mixed.columns == df.columns
+    out = Counter(map(tuple, mixed.collect()))
+    assert abs(sum(len(WORD.findall(r[1])) * n for r, n in out.items()) - 1.5 * sum(len(WORD.findall(r[1])) for r in rows)) < 0.03 * sum(len(WORD.findall(r[1])) for r in rows)
+    times = Counter(rows)
+    assert all(n <= 2 * times[r] for r, n in out.items()) and out == Counter(map(tuple, mixing.mixed_documents(df.repartition(3), **options).collect()))
+
+
+def test_mixed_rows_of_one_id_keep_their_texts(spark):
+    rows = [(1, "a b c", "x", {"k": 1}), (1, "d e f", "x", {"k": 2}), (1, "d e f", "y", {"k": 3}), (None, "g h i", None, None), (2, None, "x", None), (3, "", "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size map<string,int>")
+    out = mixing.mixed_documents(df, weights=(1,), share=2.0, block_words=1).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in out) == Counter({(1, "a b c", "x"): 2, (1, "d e f", "x"): 2, (1, "d e f", "y"): 2, (None, "g h i", None): 2})
+    assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
 def test_sainte_lague(spark):
     votes = {1: 53_000.0, 2: 24_000.0, 3: 23_000.0, 4: 10.0, 5: 0.0}
     for seats in (0, 1, 7, 100, 101):
@@ -158,21 +185,54 @@ def test_sharding(spark):
     assert hash_tree.shard_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_tree_confines_movement(spark):
-    keys = spark.range(4000)
-    tree = hash_tree.even_tree(20)
+def shards_of(keys, *args, **options):
+    return {r["id"]: r["p"]["shard"] for r in hash_tree.place(keys, "id", *args, out="p", **options).collect()}
 
-    def shards(t):
-        return {r["id"]: r["p"]["shard"] for r in hash_tree.place(keys, "id", t, out="p").collect()}
 
-    before = shards(tree)
-    heavier = [(g, [(r, [(s, 3.0 if s == 4 else w) for s, w in leaves]) for r, leaves in racks]) for g, racks in tree]
-    after = shards(heavier)
+def test_tree_confines_movement(spark):
+    keys = spark.range(6000)
+    tree = hash_tree.even_tree(20)
+    before = shards_of(keys, tree)
+    heavier = [(0, 0, 4, 2.0)]  # growth inside a rack
+    after = shards_of(keys, tree, heavier)
     moved = {k for k in before if before[k] != after[k]}
     assert moved and all(after[k] == 4 for k in moved)
-    assert 2 < Counter(after.values())[4] / Counter(before.values())[4] < 4
-    gone = [(g, [(r, [(s, 0.0 if s == 4 else w) for s, w in leaves]) for r, leaves in racks]) for g, racks in tree]
-    assert all(before[k] == 4 or v == before[k] for k, v in shards(gone).items())
+    assert 2.4 < Counter(after.values())[4] / Counter(before.values())[4] < 3.6
+    grown, events = after, list(heavier)
+    for event in [(1, 2, 13, 1.0), (2, 4, 20, 1.0), (0, 1, 21, 1.0), (0, 0, 4, 0.5)]:  # in turn: a rack's shard, a new region, a new shard in an old rack, again the first
+        events.append(event)
+        now = shards_of(keys, tree, events)
+        assert all(now[k] in (grown[k], event[2]) for k in now) and any(now[k] != grown[k] for k in now)
+        grown = now
+    sizes = Counter(grown.values())
+    weights = {s: 1.0 for s in range(22)} | {4: 3.5, 13: 2.0}
+    for s, w in weights.items():
+        assert 0.75 < sizes[s] / (6000 * w / sum(weights.values())) < 1.25, (s, sizes[s])
+    gone = shards_of(keys, tree, events, removed=frozenset({4, 13}))
+    rack = {s: r for _, racks in tree for r, leaves in racks for s, _ in leaves}
+    assert all(gone[k] == grown[k] for k in grown if grown[k] not in (4, 13)) and not {4, 13} & set(gone.values())
+    assert any(rack[gone[k]] == rack[4] for k in grown if grown[k] == 4)
+    whole = shards_of(keys, tree, removed=frozenset(range(5)))  # a whole rack
+    assert all(whole[k] == before[k] for k in before if before[k] > 4) and {whole[k] for k in before if before[k] < 5} == set(range(5, 10))
+
+
+def test_descents_of_large_trees(spark):
+    tree = hash_tree.even_tree(10_000)
+    assert sum(len(leaves) for _, racks in tree for _, leaves in racks) == 10_000
+    assert max(len(tree) + len(racks) + len(leaves) for _, racks in tree for _, leaves in racks) < 80
+    found = shards_of(spark.range(20_000), tree)
+    assert len(set(found.values())) > 8000 and max(Counter(found.values()).values()) < 14
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    last = None
+    for n in (40, 41, 42, 47):
+        got = {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in hash_tree.shard_documents(docs, n, base=40).collect()}
+        assert {s for s, _ in got.values()} == set(range(n)) and all(g in (s, n) for s, g in got.values()) and any(g == n for _, g in got.values())
+        if n in (41, 42):
+            assert {k: s for k, (s, _) in got.items()} == {k: g for k, (_, g) in last.items()}
+        last = got
 
 
 # ---- archives
