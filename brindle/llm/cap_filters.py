@@ -227,7 +227,7 @@ def _verify(threshold: float):
     return verify
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 1024, expected: float = 14.0) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 1024, class_block: int = 128, expected: float = 14.0) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding)``: vec_id, n_links,
     component_id, kept; other columns are ignored.
 
@@ -236,9 +236,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 102
     link with nothing: no links, their own component, kept. Equal vectors are
     compared once and counted as often as they occur; rows of one id with
     different vectors are compared like others, and each row has the links of
-    its own vector. An empty table gives an empty result. A filter, or a class
-    of candidates, of more than ``block`` vectors is treated block pair by
-    block pair, so no task holds a hot one.
+    its own vector. An empty table gives an empty result. A filter of
+    more than ``block`` vectors, and a class of candidates of more than
+    ``class_block``, is treated block pair by block pair, so no task holds a hot
+    one.
 
     What meets in a filter is a sketch of each vector; the vectors themselves
     are verified once, among those that sketches join.
@@ -264,7 +265,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 102
     near = components(edges.select(node().alias("u"), node("other_rep", "other_tag").alias("v")))
     near = near.unionByName(near.select(F.col("component").alias("node"), "component").distinct())
     members = cut(near.select("node.rep", "node.tag", F.col("component.rep").alias("cand_rep"), F.col("component.tag").alias("cand_tag")))
-    sized = members.groupBy("cand_rep", "cand_tag").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    sized = members.groupBy("cand_rep", "cand_tag").agg(F.ceil(F.count(F.lit(1)) / class_block).alias("blocks"))
     members = salted_join(members, sized, ["cand_rep", "cand_tag"], ["rep", "tag"], members.count()).join(reps.drop("tag2"), ["rep", "tag"])
     pairs = block_pairs(members, ["cand_rep", "cand_tag"], "tag", F.col("blocks")).drop("blocks")
     found = pairs.repartition(*_BLOCK_PAIR).sortWithinPartitions(*_BLOCK_PAIR).mapInArrow(_verify(threshold), LINKS)

@@ -263,7 +263,7 @@ def _size_blocks(members: DataFrame, threshold: float, block_docs: int, block_sh
     return rows.withColumn("pairs", pairs).drop("below", "own", "above", "n")
 
 
-def _candidates(reps: DataFrame, threshold: float, trees: int, longest: int, target: float, block_docs: int, range_rows: int) -> DataFrame:
+def _candidates(reps: DataFrame, threshold: float, trees: int, longest: int, target: float, run_docs: int, range_rows: int) -> DataFrame:
     """``reps(rep, tag, signature)`` to candidate classes (rep, tag, cand)."""
     width, least = _BYTES * longest, least_depth(trees, longest, threshold, target)
     entries = reps.select("rep", "tag", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
@@ -276,7 +276,7 @@ def _candidates(reps: DataFrame, threshold: float, trees: int, longest: int, tar
     runs = placed.groupBy("run").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep", "tag")).alias("x"), F.bit_xor(F.xxhash64("tag", "rep")).alias("y"))
     runs = runs.filter("n > 1").groupBy("n", "x", "y").agg(F.min("run").alias("run")).select("run", "n")
     members = salted_join(placed, runs, ["run"], ["rep", "tag"], placed.count()).join(reps.select("rep", "tag", "signature"), ["rep", "tag"])
-    members = cut(block_pairs(members, ["run"], "tag", F.ceil(F.col("n") / block_docs)).drop("n"))
+    members = cut(block_pairs(members, ["run"], "tag", F.ceil(F.col("n") / run_docs)).drop("n"))
     # agreement of a pair at the threshold lies below this once in ten million
     floor = math.floor(trees * longest * threshold - 5.2 * math.sqrt(trees * longest * threshold * (1 - threshold)))
     edges, met = [], {}
@@ -303,7 +303,7 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
-def _classes(docs: DataFrame, threshold: float, trees: int, longest: int, target: float, block_docs: int, block_shingles: int, range_rows: int) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, threshold: float, trees: int, longest: int, target: float, run_docs: int, block_docs: int, block_shingles: int, range_rows: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, text_hash, set_key or null), and per set: set_key, rep,
     text_hash, tag, weight, n_links, class_id, is_root."""
     texts = _identified(docs)
@@ -311,7 +311,7 @@ def _classes(docs: DataFrame, threshold: float, trees: int, longest: int, target
     good = rows.filter("doc_id is not null and set_key is not null")
     reps = good.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.count(F.lit(1)).alias("weight"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     reps = cut(reps.select("set_key", F.col("of.doc_id").alias("rep"), F.col("of.text_hash").alias("text_hash"), F.xxhash64("set_key").alias("tag"), "weight", "n_shingles", "signature"))
-    members = cut(_candidates(reps, threshold, trees, longest, target, block_docs, range_rows).join(reps.drop("signature"), ["rep", "tag"]))
+    members = cut(_candidates(reps, threshold, trees, longest, target, run_docs, range_rows).join(reps.drop("signature"), ["rep", "tag"]))
     sized = _size_blocks(members, threshold, block_docs, block_shingles)
     sets = texts.join(sized.withColumn("doc_id", F.col("rep")), ["doc_id", "text_hash"]).select("rep", "tag", "weight", "cls", "block", "cand", "pairs", "text")
     pair = "struct<lo:struct<cls:int,block:int>,hi:struct<cls:int,block:int>>"
@@ -328,7 +328,8 @@ def jaccard_classes(
     trees: int = 24,
     longest: int = 8,
     target: float = 0.999,
-    block_docs: int = 512,
+    run_docs: int = 128,
+    block_docs: int = 256,
     block_shingles: int = 1_000_000,
     range_rows: int = 400_000,
 ) -> DataFrame:
@@ -343,11 +344,11 @@ def jaccard_classes(
     sets are compared once and counted as often as they occur; rows of one id
     with different texts are compared like others, and each row has the links
     of its own text. An empty table gives an empty result; other columns are
-    ignored. A candidate class beyond ``block_docs`` documents or
-    ``block_shingles`` shingles is verified block pair by block pair, blocks of
-    sizes too far apart left out.
+    ignored. A trie node beyond ``run_docs`` documents, and a candidate class
+    beyond ``block_docs`` documents or ``block_shingles`` shingles, is treated
+    block pair by block pair, blocks of sizes too far apart left out.
     """
-    rows, per_set = _classes(docs, threshold, trees, longest, target, block_docs, block_shingles, range_rows)
+    rows, per_set = _classes(docs, threshold, trees, longest, target, run_docs, block_docs, block_shingles, range_rows)
     done = rows.filter("doc_id is not null and set_key is not null")
     done = salted_join(done, per_set.select("set_key", "n_links", "class_id"), ["set_key"], ["doc_id"], rows.count())
     done = done.select("doc_id", "n_links", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
@@ -364,7 +365,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, **options) ->
     of two classes both stay, whatever their ids. Rows that repeat an id and
     its text count as copies, of which one stays, the same in every run.
     """
-    defaults = {"trees": 24, "longest": 8, "target": 0.999, "block_docs": 512, "block_shingles": 1_000_000, "range_rows": 400_000}
+    defaults = {"trees": 24, "longest": 8, "target": 0.999, "run_docs": 128, "block_docs": 256, "block_shingles": 1_000_000, "range_rows": 400_000}
     rows, per_set = _classes(docs, threshold, **(defaults | options))
     names = [f"`{c}`" for c in docs.columns]
     text = F.col("text").cast("string")

@@ -121,7 +121,7 @@ def test_a_group_of_near_copies_over_many_ranges_and_blocks(spark):
     texts += [" ".join(f"w{rng.randrange(5000)}" for _ in range(50)) for _ in range(50)]
     rows = list(enumerate(texts))
     docs = spark.createDataFrame([(i, t, "e", 1) for i, t in rows], DOCS)
-    got = lsh_forest.jaccard_classes(docs, range_rows=300, block_docs=16).collect()
+    got = lsh_forest.jaccard_classes(docs, range_rows=300, run_docs=24, block_docs=16).collect()
     assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in got} == brute_jaccard(rows)
 
 
@@ -149,8 +149,8 @@ def test_embeddings_match_brute_force(spark):
     near = unit @ unit.T >= 0.9
     np.fill_diagonal(near, False)
     group = classes(len(x), zip(*np.nonzero(near), strict=True))
-    for block in (1024, 8):
-        got = cap_filters.near_duplicates(df, block=block).orderBy("vec_id").collect()
+    for block, class_block in ((1024, 128), (8, 4)):
+        got = cap_filters.near_duplicates(df, block=block, class_block=class_block).orderBy("vec_id").collect()
         assert [r["n_links"] for r in got] == near.sum(axis=1).tolist()
         assert [r["component_id"] for r in got] == [10 + g for g in group]
         assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
