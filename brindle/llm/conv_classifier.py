@@ -1,8 +1,9 @@
 """Toxicity: a convolutional text classifier in numpy.
 
-A word's vector is the sum of two rows of a hashed embedding table, one for the
-word and one for its first bytes. Filters of several widths run over the
-words, the maximum over the whole text of each filter feeds a logistic layer.
+A word's vector is the sum of rows of a hashed embedding table, one for the
+word and one for each of several beginnings of it, which tell whether the word
+goes on. Filters of several widths run over the words, the maximum over the
+whole text of each filter feeds a logistic layer.
 The model is fitted on a bounded sample of labelled documents; scores are then
 calibrated so that each language's own threshold, found on rows kept out of the
 fit, lies at one common score. The language is guessed from the text itself.
@@ -12,14 +13,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.llm.common import cut, refuse_taken
 from brindle.llm.divergence import COMMON_WORDS
 from brindle.llm.hashing import NO_LETTER, by_text
 
-PREFIX = 5
+PREFIXES = (5, 6, 7, 8)  # bytes
 WIDTHS = (1, 2, 3)
 _LANGS = sorted(COMMON_WORDS)
 # function words by their hashes, in the languages' order
@@ -27,12 +29,12 @@ _STOP = [np.unique(next(by_text([" ".join(COMMON_WORDS[lang])], NO_LETTER))) for
 
 
 def _prepare(texts: list, rows: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each text an (n, 2) array, the table rows of its words and prefixes,
-    and its language: the index of the list with the most words in the text,
+    """For each text an array of the table rows of its words (first column) and
+    their beginnings, and its language: the index of the list with the most words in the text,
     -1 if none has any."""
     half, ids, langs = np.uint64(rows // 2), [], np.full(len(texts), -1)
-    for k, (words, heads) in enumerate(by_text([(t or "").lower() for t in texts], NO_LETTER, PREFIX)):
-        ids.append(np.stack([words % half, heads % half + half], axis=1).astype(np.int64))
+    for k, (words, *heads) in enumerate(by_text([(t or "").lower() for t in texts], NO_LETTER, PREFIXES)):
+        ids.append(np.stack([words % half, *(h % half + half for h in heads)], axis=1).astype(np.int32))
         votes = [np.isin(words, listed).sum() for listed in _STOP]
         if max(votes):
             langs[k] = int(np.argmax(votes))
@@ -42,7 +44,7 @@ def _prepare(texts: list, rows: int) -> tuple[list[np.ndarray], np.ndarray]:
 class ConvClassifier:
     """Hashed embeddings, filters of widths 1 to 3, max pooling, logistic output."""
 
-    def __init__(self, rows: int = 1 << 16, size: int = 8, filters: int = 8, seed: int = 11):
+    def __init__(self, rows: int = 1 << 17, size: int = 8, filters: int = 8, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.rows, self.size = rows, size
         self.table = (rng.standard_normal((rows, size)) * 0.05).astype(np.float32)
@@ -54,14 +56,18 @@ class ConvClassifier:
 
     # -- forward ------------------------------------------------------------
 
-    def _pooled(self, ids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """Maxima over the text of all filters, and where they lie."""
+    def _pooled(self, ids: np.ndarray, most: int | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Maxima of all filters over their windows inside the text, and where
+        they lie; at most the first ``most`` windows. A text shorter than a
+        window has one, filled up with zeros."""
         pad = max(WIDTHS) - 1
-        x = np.zeros((max(len(ids), 1) + pad, self.size), dtype=np.float32)  # zeros after the text
-        x[: len(ids)] = self.table[ids[:, 0]] + self.table[ids[:, 1]]
+        x = np.zeros((max(len(ids), 1) + pad, self.size), dtype=np.float32)
+        for column in ids.T:
+            x[: len(ids)] += self.table[column]
         best, places = [], []
-        n = max(len(ids), 1)
         for w, kernel, bias in zip(WIDTHS, self.kernels, self.bias, strict=True):
+            n = max(1, len(ids) - w + 1)
+            n = n if most is None else min(n, most)
             conv = x[:n] @ kernel[0]
             for k in range(1, w):
                 conv += x[k : n + k] @ kernel[k]
@@ -70,19 +76,21 @@ class ConvClassifier:
             best.append(np.maximum(conv[at, np.arange(conv.shape[1])] + bias, 0))
         return np.concatenate(best), places, x
 
-    def logits(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Logit and language of each text; a very long one in overlapping pieces."""
+    def logits(self, texts: list, step: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+        """Logit and language of each text; a very long one in pieces that
+        overlap, so that each window lies in one piece."""
         all_ids, langs = _prepare(texts, self.rows)
         out = np.empty(len(texts))
-        step = 1 << 17
         for k, ids in enumerate(all_ids):
-            parts = [self._pooled(ids[a : a + step + max(WIDTHS) - 1])[0] for a in range(0, max(len(ids), 1), step)]
+            # the last piece begins early enough to hold a whole window of each width
+            last = max(len(ids) - max(WIDTHS) + 1, 1)
+            parts = [self._pooled(ids[a : a + step + max(WIDTHS) - 1], step if a + step < last else None)[0] for a in range(0, last, step)]
             out[k] = float(np.max(parts, axis=0) @ self.out + self.out_bias)
         return out, langs
 
     # -- fit ----------------------------------------------------------------
 
-    def fit(self, texts: list, labels: np.ndarray, epochs: int = 6, rate: float = 0.01, batch: int = 32, seed: int = 12) -> ConvClassifier:
+    def fit(self, texts: list, labels: np.ndarray, epochs: int = 8, rate: float = 0.01, batch: int = 32, seed: int = 12) -> ConvClassifier:
         ids, _ = _prepare(texts, self.rows)
         self._start(ids, labels)
         rng = np.random.default_rng(seed)
@@ -107,8 +115,8 @@ class ConvClassifier:
                             grads["kernels"][v][k] += x[rows].T * back[v][None, :]
                             real = rows < len(ids[d])
                             step = (self.kernels[v][k] * back[v][None, :]).T[real]
-                            for side in (0, 1):
-                                touched.append((ids[d][rows[real], side], step))
+                            for side in ids[d][rows[real]].T:
+                                touched.append((side, step))
                 n = len(order[at : at + batch])
                 for name, slot in slots.items():
                     for p, g, s in zip(self._parameters(name), grads[name], slot, strict=True):
@@ -180,20 +188,23 @@ def bucket(doc_id, parts: int = 4):
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(parts))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, longest: int = 100_000) -> ConvClassifier:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, longest: int = 100_000, most_chars: int = 40_000_000, epochs: int = 8) -> ConvClassifier:
     """Fit on at most ``sample`` labelled rows outside the held-out fold
-    (crc32(doc_id) mod 4 = 2), in hashed order; fold 3 of them calibrates. To
-    bound the driver's memory, texts beyond ``longest`` code points are not
-    fitted on (they are scored whole)."""
+    (crc32(doc_id) mod 4 = 2), in hashed order, a third of them toxic ones;
+    fold 3 of them calibrates. To bound the driver's memory, texts beyond
+    ``longest`` code points are not fitted on, and the sample ends where its
+    texts reach ``most_chars`` code points together; scoring has no such bounds.
+    Of several texts of one id the least is taken, of several labels the highest."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.filter(bucket(F.col("doc_id")) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # as many of each label as half the bound allows, the rest from the other
-    chosen = known.orderBy(F.xxhash64(F.lit(23), "doc_id"), "doc_id")
-    toxic = chosen.filter("toxic = 1").limit(sample // 3)
-    clean = chosen.filter("toxic = 0").limit(sample - sample // 3)
-    picked = toxic.unionByName(clean)
-    texts = docs.select("doc_id", "text").filter(F.length("text") <= longest).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
-    rows = texts.select("text", "toxic", bucket(F.col("doc_id")).alias("fold"), "doc_id").toPandas().sort_values("doc_id")
+    place = F.xxhash64(F.lit(23), "doc_id")
+    toxic, clean = (known.filter(F.col("toxic") == t).orderBy(place, "doc_id").limit(n) for t, n in ((1, sample // 3), (0, sample - sample // 3)))
+    picked = cut(toxic.unionByName(clean))  # sample rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= longest)
+    texts = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = cut(texts.withColumn("place", place))
+    sizes = texts.select("doc_id", F.sum(F.length("text")).over(Window.partitionBy(F.lit(0)).orderBy("place", "doc_id")).alias("upto"))  # sample rows at most
+    rows = texts.join(F.broadcast(sizes.filter(F.col("upto") <= most_chars)), "doc_id").select("text", "toxic", bucket(F.col("doc_id")).alias("fold"), "doc_id").toPandas().sort_values("doc_id")
     model = ConvClassifier()
     if not len(rows):
         return model
@@ -201,17 +212,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, longest
     if held.all() or not held.any():
         held = np.zeros(len(rows), dtype=bool)
     values, y = rows["text"].tolist(), rows["toxic"].to_numpy().astype(float)
-    model.fit([t for t, h in zip(values, held, strict=True) if not h], y[~held])
+    model.fit([t for t, h in zip(values, held, strict=True) if not h], y[~held], epochs)
     apart = held if held.any() else ~held
     return model.calibrate([t for t, h in zip(values, apart, strict=True) if h], y[apart])
 
 
-def score_rows(docs: DataFrame, model: ConvClassifier, cut_score: float = 0.3) -> DataFrame:
-    """``docs`` with its columns as they are and ``_score`` (0 to 1) appended.
+def score_rows(docs: DataFrame, model: ConvClassifier, cut_score: float = 0.3, name: str = "_score") -> DataFrame:
+    """``docs`` with its columns as they are and a score (0 to 1) appended.
 
-    Whole texts are scored; null and empty texts get the score of no words.
-    Columns other than the text never enter a score.
+    Whole texts are scored, very long ones in pieces that lose no window; null
+    and empty texts get the score of no words. Columns other than the text never
+    enter a score. A ``name`` that ``docs`` has already raises. Repeated rows
+    are scored alike; an empty table gives an empty result.
     """
+    refuse_taken(docs, [name])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few MB whatever the input
 
     def score(batches):
@@ -220,9 +234,9 @@ def score_rows(docs: DataFrame, model: ConvClassifier, cut_score: float = 0.3) -
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 scores = pa.array(shared.value.scores(part.column(at_text).to_pylist(), cut_score), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, scores], [*part.schema.names, name])
 
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def score_toxicity(docs: DataFrame, model: ConvClassifier, cut_score: float = 0.3) -> DataFrame:

@@ -59,19 +59,22 @@ def pieces(texts: list[str | None], limit: int = _PIECE, border: bytes = b"\n")
         yield first, len(texts), border.join(run) + border
 
 
-def words_of(data: bytes, separators: np.ndarray = SPACE, prefix: int = 0):
-    """Starts, ends and 64-bit hashes of the words in ``data``; with
-    ``prefix``, also hashes of each word's first ``prefix`` bytes."""
+def words_of(data: bytes, separators: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()):
+    """Starts, ends and 64-bit hashes of the words in ``data`` and, for each of
+    ``prefixes``, hashes of each word's first so many bytes; a word that goes on
+    behind its prefix has another hash than the prefix as a word."""
     if len(data) > 4 * _PIECE:
-        return _long_words(data, separators, prefix)
+        return _long_words(data, separators, prefixes)
     raw = np.frombuffer(data, dtype=np.uint8)
     inside = np.concatenate(([False], ~separators[raw], [False]))
     turns = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = turns[0::2], turns[1::2]
     out = [starts, ends, span_hashes(raw, starts, ends)]
-    if prefix:
-        out.append(mix(span_hashes(raw, starts, np.minimum(ends, starts + prefix)) + np.uint64(77)))
-    return tuple(out)
+    return (*out, *(_head(span_hashes(raw, starts, np.minimum(ends, starts + n)), n, ends - starts) for n in prefixes))
+
+
+def _head(hashes: np.ndarray, n: int, lengths: np.ndarray) -> np.ndarray:
+    return mix(hashes + np.uint64(77 + 2 * n) + (lengths > n).astype(np.uint64))
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -82,7 +85,7 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))
 
 
-def _long_words(data: bytes, separators: np.ndarray, prefix: int):
+def _long_words(data: bytes, separators: np.ndarray, prefixes: tuple[int, ...]):
     """As words_of, in pieces that end at separators, for very long texts."""
     raw = np.frombuffer(data, dtype=np.uint8)
     cuts, at = [0], 0
@@ -94,15 +97,15 @@ def _long_words(data: bytes, separators: np.ndarray, prefix: int):
         cuts.append(at)
     cuts.append(len(raw))
     if len(cuts) == 2:  # one word of many megabytes
-        return _one_long_word(data, separators, prefix)
+        return _one_long_word(data, separators, prefixes)
     parts = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        part = words_of(data[a:b], separators, prefix) if b - a <= 4 * _PIECE else _one_long_word(data[a:b], separators, prefix)
+        part = words_of(data[a:b], separators, prefixes) if b - a <= 4 * _PIECE else _one_long_word(data[a:b], separators, prefixes)
         parts.append((part[0] + a, part[1] + a, *part[2:]))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _one_long_word(data: bytes, separators: np.ndarray, prefix: int):
+def _one_long_word(data: bytes, separators: np.ndarray, prefixes: tuple[int, ...]):
     """Words of bytes whose separators are too rare to cut at: each word is
     hashed in pieces of a megabyte, to the hash that span_hashes gives."""
     raw = np.frombuffer(data, dtype=np.uint8)
@@ -110,10 +113,8 @@ def _one_long_word(data: bytes, separators: np.ndarray, prefix: int):
     turns = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = turns[0::2], turns[1::2]
     hashes = np.array([_long_hash(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
-    if not prefix:
-        return starts, ends, mix(hashes)
-    heads = np.array([_long_hash(raw[a : min(b, a + prefix)]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64)
-    return starts, ends, mix(hashes), mix(mix(heads) + np.uint64(77))
+    heads = [np.array([_long_hash(raw[a : min(b, a + n)]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], dtype=np.uint64) for n in prefixes]
+    return starts, ends, mix(hashes), *(_head(mix(h), n, ends - starts) for h, n in zip(heads, prefixes, strict=True))
 
 
 def _long_hash(word: np.ndarray) -> int:
@@ -126,19 +127,19 @@ def _long_hash(word: np.ndarray) -> int:
     return total % 2**64
 
 
-def by_text(texts: list[str | None], separators: np.ndarray = SPACE, prefix: int = 0) -> Iterator[tuple]:
+def by_text(texts: list[str | None], separators: np.ndarray = SPACE, prefixes: tuple[int, ...] = ()) -> Iterator:
     """For each text, in order, the hashes of its words (and prefixes); texts
     are parted by a separator, so that no word crosses their border."""
     border = bytes([10 if separators[10] else int(np.flatnonzero(separators)[0])])
     for first, last, data in pieces(texts, border=border):
-        found = words_of(data, separators, prefix)
+        found = words_of(data, separators, prefixes)
         if last - first == 1:
-            yield found[2:] if prefix else found[2]
+            yield found[2:] if prefixes else found[2]
             continue
         ends = np.cumsum([len((t or "").encode("utf-8", "replace")) + 1 for t in texts[first:last]])
         borders = np.concatenate(([0], np.searchsorted(found[0], ends)))
         for a, b in zip(borders[:-1], borders[1:], strict=True):
-            yield (found[2][a:b], found[3][a:b]) if prefix else found[2][a:b]
+            yield tuple(x[a:b] for x in found[2:]) if prefixes else found[2][a:b]
 
 
 def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:

@@ -91,8 +91,8 @@ def test_long_words_are_hashed_whole(spark):
         raw = np.frombuffer(text.encode(), dtype=np.uint8)
         at = [m.span() for m in re.finditer(r"\S+", text)]
         assert list(span_hashes(raw, np.array([x for x, _ in at]), np.array([y for _, y in at]))) == list(hashes)
-    heads = [h[1] for h in by_text([word, "x" * 9], prefix=4)]
-    assert heads[0][0] == heads[1][0]
+    heads = [h[1:] for h in by_text([word, "x" * 9, "xxxx"], prefixes=(4, 9))]
+    assert heads[0][0] == heads[1][0] != heads[2][0] and heads[0][1] != heads[1][1]
     got = lsh_forest.jaccard_classes(spark.createDataFrame([(1, word, None, None), (2, other, None, None), (3, word, None, None)], DOCS)).collect()
     assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in got} == {1: (1, 1), 2: (0, 2), 3: (1, 1)}
 
