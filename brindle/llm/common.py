@@ -44,6 +44,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with so many underscores before it that ``df`` has no
+    column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def refuse_taken(df: DataFrame, names: list[str]) -> None:
+    if clash := {c.lower() for c in df.columns} & {n.lower() for n in names}:
+        raise ValueError(f"the table has columns {sorted(clash)}; name the new ones otherwise")
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, null counting none."""
     words = F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))

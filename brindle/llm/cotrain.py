@@ -1,28 +1,31 @@
 """Quality by co-training a text-content and a page-metadata classifier.
 
 The content view sees hashed words and hashed runs of non-letters; the metadata
-view sees the language and source, the stored length and the page's layout
-(lines, their lengths, shares of capitals, marks and symbols), not the words.
-Both are logistic models fitted in numpy on a bounded labelled sample. In each
-round, each view labels the documents of a bounded unlabelled pool that it is
-most sure of and hands them to the other. Both views are then
-calibrated on a fold of their own, averaged, and all documents are scored.
+view sees the language, the source and the stored length, and nothing of the
+text. Both are logistic models fitted in numpy on a bounded labelled sample and
+calibrated on a fold of their own. In each round all unlabelled documents are
+scored by both views in tasks, and each view hands the other those it is surest
+of as pseudo-labels. In the end the views are weighted by their skill on the
+calibration fold, and all documents are scored.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brindle.llm.common import cut, refuse_taken
 from brindle.llm.conv_classifier import bucket
 from brindle.llm.hashing import NO_LETTER, by_text
 
-HASHED, SHAPES, META_SIZE, NAMES = 1 << 14, 16, 32 + 256, 256
+HASHED, SHAPES, META_SIZE = 1 << 14, 16, 4096
 CONTENT_SIZE = HASHED + SHAPES
 
 
@@ -46,33 +49,14 @@ def content_features(texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-_SMALL, _LARGE, _DIGIT = (np.array([a <= b <= z for b in range(256)]) for a, z in ((97, 122), (65, 90), (48, 57)))
-_SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
-_MARK = np.isin(np.arange(256), list(b".,;:!?'\"()-"))
-
-
-def meta_features(lang, source, n_chars, text) -> np.ndarray:
-    """Dense metadata and layout features of one page."""
-    out = np.zeros(META_SIZE, dtype=np.float32)
-    raw = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
-    n = max(1, len(raw))
-    lines = np.diff(np.concatenate(([-1], np.flatnonzero(raw == 10), [len(raw)]))) - 1
-    counts = np.bincount(raw, minlength=256)
-    out[0] = 1
-    out[1] = np.log1p(n_chars or 0) / 10
-    out[2] = np.log1p(len(lines)) / 5
-    out[3] = np.log1p(lines.mean()) / 8
-    out[4] = np.log1p(lines.std()) / 8
-    for k, kind in enumerate((_SMALL, _LARGE, _DIGIT, _SYMBOL, _MARK)):
-        share = counts[kind].sum() / n
-        out[5 + 2 * k], out[6 + 2 * k] = share, np.sqrt(share)
-    out[15] = counts[32] / n * 3
-    out[16] = (lines == 0).mean()
-    out[17] = (out[6 + 2] > 0.5) + 0.0
-    out[18 + min(9, int(np.log2(n)) // 2)] = 1
-    out[32 + zlib.crc32(f"lang:{lang}".encode()) % 64] = 0.5
-    out[32 + 64 + zlib.crc32(f"source:{source}".encode()) % (NAMES - 64)] = 0.2
-    return out
+def meta_features(lang, source, n_chars) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of a page's metadata: language, source and stored
+    length by half powers of two, and their pairs. No text."""
+    size = "none" if n_chars is None else str(int(2 * np.log2(max(0, n_chars) + 1)))
+    named = [(f"lang {lang}", 0.5), (f"source {source}", 0.5), (f"size {size}", 0.5), (f"lang {lang} size {size}", 0.3), (f"lang {lang} source {source}", 0.3)]
+    at = np.array([0] + [1 + zlib.crc32(name.encode()) % (META_SIZE - 1) for name, _ in named], dtype=np.int32)
+    rows, place = np.unique(at, return_inverse=True)
+    return rows.astype(np.int32), np.bincount(place, weights=[1.0] + [v for _, v in named]).astype(np.float32)
 
 
 class Logistic:
@@ -103,63 +87,77 @@ class Logistic:
         return np.array([float(r[1] @ self.weights[r[0]]) + self.bias for r in rows])
 
     def calibrate(self, rows: list, y: np.ndarray) -> Logistic:
-        """Platt scaling: a slope and a shift fitted on rows kept apart."""
-        z = self.raw(rows)
-        target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-        a, b = 1.0, 0.0
-        for _ in range(100):  # Newton steps on two numbers
-            p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-            h = p * (1 - p) + 1e-6
-            gradient = np.array([((p - target) * z).sum() + 1e-3 * (a - 1), (p - target).sum()])
-            hessian = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-9]])
-            step = np.linalg.solve(hessian, gradient)
-            a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
-        self.slope, self.shift = float(a), float(b)
+        self.slope, self.shift = _platt(self.raw(rows), y)
         return self
 
     def logit(self, rows: list) -> np.ndarray:
         return np.clip(self.slope * self.raw(rows) + self.shift, -12, 12)
 
 
+def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logit, fitted on rows kept apart."""
+    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+    a, b = 1.0, 0.0
+    for _ in range(100):  # Newton steps on two numbers
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        h = p * (1 - p) + 1e-6
+        gradient = np.array([((p - target) * z).sum() + 1e-3 * (a - 1), (p - target).sum()])
+        hessian = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-9]])
+        step = np.linalg.solve(hessian, gradient)
+        a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
+    return float(a), float(b)
+
+
 class CoTrained:
-    def __init__(self, content: Logistic, meta: Logistic, least: float):
-        self.content, self.meta, self.least = content, meta, least
+    """Both views, the weights of their calibrated logits, and the least score kept."""
+
+    def __init__(self, content: Logistic, meta: Logistic):
+        self.content, self.meta, self.weights, self.slope, self.shift, self.least = content, meta, (1.0, 0.0), 1.0, 0.0, 0.5
+
+    def logits(self, content: list, meta: list) -> tuple[np.ndarray, np.ndarray]:
+        return self.content.logit(content), self.meta.logit(meta)
 
     def scores(self, content: list, meta: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Calibrated probability of each view and of the average logit."""
-        a, b = self.content.logit(content), self.meta.logit(meta)
-        return tuple(1 / (1 + np.exp(-z)) for z in (a, b, (a + b) / 2))
+        """Calibrated probability of each view and of both."""
+        a, b = self.logits(content, meta)
+        both = np.clip(self.slope * (self.weights[0] * a + self.weights[1] * b) + self.shift, -12, 12)
+        return tuple(1 / (1 + np.exp(-z)) for z in (a, b, both))
+
+    def combine(self, content: list, meta: list, y: np.ndarray) -> CoTrained:
+        """Weigh the views by their skill on rows kept apart: how much of the
+        log loss of the base rate their calibrated probabilities save."""
+        z = self.logits(content, meta)
+        loss = lambda p: -np.mean(np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-6, 1)))
+        skill = [max(0.0, 1 - loss(1 / (1 + np.exp(-v))) / loss(np.full(len(y), y.mean()))) for v in z]
+        total = sum(skill)
+        self.weights = tuple(s / total for s in skill) if total > 0 else (0.5, 0.5)
+        self.slope, self.shift = _platt(self.weights[0] * z[0] + self.weights[1] * z[1], y)
+        self.least = _lenient_cut(self.scores(content, meta)[2], y)
+        return self
+
 
+#: (model, pseudo-labels so far) to what the views hand over: for each view that
+#: learns, rows of its features and their labels.
+Exchange = Callable[["CoTrained"], list[tuple[list, np.ndarray]]]
 
-def co_train(known: list[list], y: np.ndarray, apart: np.ndarray, pool: list[list], rounds: int = 4, share: float = 0.05, sure: float = 0.97) -> CoTrained:
-    """``known`` and ``pool`` hold the rows of both views, [content, meta]."""
+
+def co_train(known: list[list], y: np.ndarray, apart: np.ndarray, exchange: Exchange | None, rounds: int = 2) -> CoTrained:
+    """``known`` holds the rows of both views, [content, meta]; rows ``apart``
+    calibrate. After each of ``rounds`` fits, ``exchange`` lets each calibrated
+    view label unlabelled rows for the other."""
     fit, held = np.flatnonzero(~apart), np.flatnonzero(apart)
-    own = [[known[v][k] for k in fit] for v in (0, 1)]
-    labels = [y[fit], y[fit]]
-    models = [Logistic(CONTENT_SIZE), Logistic(META_SIZE)]
-    used = [np.zeros(len(pool[0]), dtype=bool) for _ in models]
+    own, labels = [[known[v][k] for k in fit] for v in (0, 1)], [y[fit], y[fit]]
+    aside = [[known[v][k] for k in held] for v in (0, 1)]
+    both = CoTrained(Logistic(CONTENT_SIZE), Logistic(META_SIZE))
     for turn in range(rounds + 1):
-        for v, model in enumerate(models):
+        for v, model in enumerate((both.content, both.meta)):
             model.fit(own[v], labels[v])
-        if turn == rounds or not len(pool[0]):
-            break
-        for v, model in enumerate(models):  # view v teaches the other
-            p = 1 / (1 + np.exp(-model.raw(pool[v])))
-            taught = []
-            for label in (0, 1):
-                confident = np.flatnonzero(~used[1 - v] & ((p > sure) if label else (p < 1 - sure)))
-                best = confident[np.argsort(-np.abs(p[confident] - 0.5), kind="stable")][: max(1, int(share * len(p)))]
-                taught += [(k, label) for k in best]
-            for k, label in taught:
-                used[1 - v][k] = True
-                own[1 - v].append(pool[1 - v][k])
-            labels[1 - v] = np.append(labels[1 - v], [label for _, label in taught])
-    for v, model in enumerate(models):
-        model.calibrate([known[v][k] for k in held], y[held])
-    both = CoTrained(*models, 0.5)
-    p = both.scores([known[0][k] for k in held], [known[1][k] for k in held])[2]
-    both.least = _lenient_cut(p, y[held])
-    return both
+            model.calibrate(aside[v], y[held])
+        if turn < rounds and exchange is not None:
+            for v, (rows, taught) in enumerate(exchange(both)):
+                own[v] += rows
+                labels[v] = np.append(labels[v], taught)
+    return both.combine(*aside, y[held])
 
 
 def _lenient_cut(p: np.ndarray, y: np.ndarray) -> float:
@@ -176,83 +174,125 @@ def _lenient_cut(p: np.ndarray, y: np.ndarray) -> float:
     return float(min(0.5, (q[k] + above) / 2))
 
 
-def _view_rows(docs: DataFrame) -> DataFrame:
-    """doc_id and both views' features, computed in tasks from whole texts."""
-    def views(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256).to_pydict()
-                content = content_features(rows["text"])
-                meta = [meta_features(*x) for x in zip(rows["lang"], rows["source"], rows["n_chars"], rows["text"], strict=True)]
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": rows["doc_id"], "ids": [r[0].tobytes() for r in content], "counts": [r[1].tobytes() for r in content], "meta": [m.tobytes() for m in meta]},
-                    schema=pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("meta", pa.binary())]),
-                )
-
-    return _columns(docs).mapInArrow(views, "doc_id long, ids binary, counts binary, meta binary")
+_USED = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
 
 
 def _columns(docs: DataFrame) -> DataFrame:
     """The columns used; a missing lang, source or n_chars counts as null."""
-    kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
-    return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+    return docs.select(*[(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in _USED.items()])
+
+
+def _views(part: pa.RecordBatch) -> tuple[list, list]:
+    """Both views' rows of a batch, from whole texts."""
+    got = {c: part.column(part.schema.get_field_index(c)).to_pylist() if c in part.schema.names else [None] * part.num_rows for c in ("text", "lang", "source", "n_chars")}
+    return content_features(got["text"]), [meta_features(*x) for x in zip(got["lang"], got["source"], got["n_chars"], strict=True)]
+
 
+def _parts(batches, step: int = 256):
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
-def _dense(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(meta)
-    return at.astype(np.int32), meta[at]
 
+def _gathered(rows: DataFrame) -> pd.DataFrame:
+    """(doc_id, key) and both views of a bounded number of rows on the driver;
+    of texts of one id and key one counts."""
+    def features(batches):
+        for part in _parts(batches):
+            content, meta = _views(part)
+            columns = [[x.tobytes() for x in side] for view in (content, meta) for side in zip(*view, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(part.schema.get_field_index("key")), *[pa.array(c, pa.binary()) for c in columns]], ["doc_id", "key", "ids", "counts", "meta_ids", "meta_counts"])
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, pool: int = 3000) -> CoTrained | None:
-    """Fit on at most ``sample`` labelled rows and ``pool`` unlabelled ones, in
-    hashed order. Fold 2 of crc32(doc_id) mod 4 is left out (for tests), fold
-    3 calibrates. None if a class has no labelled row to fit or calibrate."""
+    found = rows.mapInArrow(features, "doc_id long, key long, ids binary, counts binary, meta_ids binary, meta_counts binary")
+    return found.groupBy("doc_id", "key").agg(*[F.first(c).alias(c) for c in ("ids", "counts", "meta_ids", "meta_counts")]).toPandas().sort_values(["doc_id", "key"])
+
+
+def _rows_of(frame: pd.DataFrame) -> tuple[list, list]:
+    read = lambda a, b: [(np.frombuffer(x, dtype=np.int32), np.frombuffer(y, dtype=np.float32)) for x, y in zip(frame[a], frame[b], strict=True)]
+    return read("ids", "counts"), read("meta_ids", "meta_counts")
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, rounds: int = 2, handed: int = 100, sure: float = 0.95) -> CoTrained | None:
+    """Fit on at most ``sample`` labelled rows, in hashed order. Fold 2 of
+    crc32(doc_id) mod 4 is left out (for tests), fold 3 calibrates.
+
+    In each round every unlabelled document is scored by both calibrated views
+    in tasks, and each view hands the other its surest ``handed`` texts of each
+    label among all of them, if their probability reaches ``sure``; equal texts
+    count once. None if a class has no labelled row to fit or calibrate.
+    """
     known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     known = known.filter(bucket(F.col("doc_id")) != 2)
     ordered = [F.xxhash64(F.lit(29), "doc_id"), F.col("doc_id")]
     bad, good = (known.filter(F.col("quality") == q).orderBy(*ordered).limit(n) for q, n in ((0, sample // 3), (1, sample - sample // 3)))
-    ids = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").filter("doc_id is not null").distinct()
-    free = ids.orderBy(*ordered).limit(pool).select("doc_id", F.lit(None).cast("int").alias("quality"))
-    picked = F.broadcast(bad.unionByName(good).unionByName(free))  # sample + pool rows at most
-    rows = _view_rows(_columns(docs).join(picked.select("doc_id"), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
-    rows = rows.join(picked, "doc_id").withColumn("fold", bucket(F.col("doc_id"))).toPandas().sort_values("doc_id")
-    views = [[(np.frombuffer(a, dtype=np.int32), np.frombuffer(b, dtype=np.float32)) for a, b in zip(rows["ids"], rows["counts"], strict=True)], [_dense(np.frombuffer(m, dtype=np.float32)) for m in rows["meta"]]]
-    marked = rows["quality"].notna().to_numpy()
-    at, unmarked = np.flatnonzero(marked), np.flatnonzero(~marked)
-    y, apart = rows["quality"].to_numpy()[at].astype(float), rows["fold"].to_numpy()[at] == 3
+    picked = cut(bad.unionByName(good))  # sample rows at most
+    used = _columns(docs).withColumn("key", F.xxhash64("text"))
+    rows = _gathered(used.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi"))
+    rows = rows.drop_duplicates("doc_id").merge(picked.toPandas(), on="doc_id").sort_values("doc_id")
+    y = rows["quality"].to_numpy().astype(float)
+    apart = np.array([zlib.crc32(str(k).encode()) % 4 == 3 for k in rows["doc_id"]], dtype=bool)
     if any(len(np.unique(y[s])) < 2 for s in (apart, ~apart)):
         return None
-    return co_train([[v[k] for k in at] for v in views], y, apart, [[v[k] for k in unmarked] for v in views])
+    free = used.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").filter("doc_id is not null")
+    handed_over: list[set] = [set(), set()]  # texts that each view has learnt from
 
+    def exchange(model: CoTrained) -> list[tuple[list, np.ndarray]]:
+        shared = docs.sparkSession.sparkContext.broadcast(model)  # two weight vectors
 
-_SCORES = ["_content_score", "_meta_score", "_score"]
+        def judge(batches):
+            for part in _parts(batches):
+                p = [1 / (1 + np.exp(-z)) for z in shared.value.logits(*_views(part))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(part.schema.get_field_index("key")), *map(pa.array, p)], ["doc_id", "key", "p0", "p1"])
+
+        judged = free.mapInArrow(judge, "doc_id long, key long, p0 double, p1 double")
+        judged = cut(judged.groupBy("key").agg(F.min(F.struct("doc_id", "p0", "p1")).alias("r")).select("key", "r.*"))
+        chosen = []  # (doc_id, key, learning view, label)
+        for view in (0, 1):
+            for label in (0, 1):
+                surety = F.col(f"p{view}") if label else 1 - F.col(f"p{view}")
+                top = judged.filter(surety >= sure).orderBy(F.desc(surety), F.xxhash64("key"), "key").limit(handed + len(handed_over[1 - view])).select("doc_id", "key").collect()
+                fresh_ones = [(r["doc_id"], r["key"]) for r in top if r["key"] not in handed_over[1 - view]][:handed]
+                handed_over[1 - view] |= {k for _, k in fresh_ones}
+                chosen += [(*pair, 1 - view, label) for pair in fresh_ones]
+        out: list[tuple[list, np.ndarray]] = [([], np.zeros(0)), ([], np.zeros(0))]
+        if chosen:
+            wanted = docs.sparkSession.createDataFrame(sorted({c[:2] for c in chosen}), "doc_id long, key long")  # 4 * handed rows at most
+            frame = _gathered(used.join(F.broadcast(wanted), ["doc_id", "key"], "left_semi"))
+            place = {pair: k for k, pair in enumerate(zip(frame["doc_id"].tolist(), frame["key"].tolist(), strict=True))}
+            views = _rows_of(frame)
+            for v in (0, 1):
+                mine = [(place[c[:2]], c[3]) for c in chosen if c[2] == v and c[:2] in place]
+                out[v] = ([views[v][k] for k, _ in mine], np.array([label for _, label in mine], dtype=float))
+        return out
+
+    return co_train(list(_rows_of(rows)), y, apart, exchange, rounds)
 
 
-def score_rows(docs: DataFrame, model: CoTrained | None) -> DataFrame:
+_SCORES = ["_content_score", "_meta_score", "_score", "_kept"]
+
+
+def score_rows(docs: DataFrame, model: CoTrained | None, names: list[str] = _SCORES) -> DataFrame:
     """``docs(doc_id, text, lang, source, n_chars)`` with its columns as they
-    are and ``_content_score``, ``_meta_score``, ``_score`` (0 to 1, high is
-    good) and ``_kept`` appended.
+    are and four columns appended under ``names``: the content, metadata and
+    combined score (0 to 1, high is good) and whether the row is kept.
 
     Whole texts are scored; nulls in any column and empty texts have features
-    like any other value, and a missing column counts as null. Without a model
-    (no labelled rows of both classes) scores are null and all rows are kept.
+    like any other value, and a missing column counts as null. Names that
+    ``docs`` has already raise. Without a model (no labelled rows of both
+    classes) scores are null and all rows are kept. Repeated rows are scored
+    alike; an empty table gives an empty result.
     """
+    refuse_taken(docs, names)
     if model is None:
-        return docs.withColumns({**{c: F.lit(None).cast("double") for c in _SCORES}, "_kept": F.lit(True)})
+        return docs.withColumns({**{c: F.lit(None).cast("double") for c in names[:3]}, names[3]: F.lit(True)})
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two weight vectors
 
     def score(batches):
-        model = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = {c: part.column(part.schema.get_field_index(c)).to_pylist() if c in part.schema.names else [None] * part.num_rows for c in ("text", "lang", "source", "n_chars")}
-                content = content_features(rows["text"])
-                meta = [_dense(meta_features(*x)) for x in zip(rows["lang"], rows["source"], rows["n_chars"], rows["text"], strict=True)]
-                scores = model.scores(content, meta)
-                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, scores), pa.array(scores[2] >= model.least)], [*part.schema.names, *_SCORES, "_kept"])
-
-    added = [*[T.StructField(c, T.DoubleType()) for c in _SCORES], T.StructField("_kept", T.BooleanType())]
+        for part in _parts(batches):
+            scores = shared.value.scores(*_views(part))
+            yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, scores), pa.array(scores[2] >= shared.value.least)], [*part.schema.names, *names])
+
+    added = [*[T.StructField(c, T.DoubleType()) for c in names[:3]], T.StructField(names[3], T.BooleanType())]
     return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *added]))
 
 

@@ -3,9 +3,11 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
-
 from brindle.llm import conv_classifier, cotrain
+from brindle.llm.common import fresh
+from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score int"
 
@@ -63,6 +65,47 @@ def test_toxic_word_far_inside_a_long_text(spark, tables):
     assert got[0] < 0.3 <= got[1]
 
 
+def plain_logit(model, ids):
+    """The forward pass word by word and window by window."""
+    x = [sum(model.table[row].astype(float) for row in word) for word in ids] or [np.zeros(model.size)]
+    pooled = []
+    for kernel, bias in zip(model.kernels, model.bias, strict=True):
+        w = len(kernel)
+        windows = [x[k : k + w] for k in range(max(1, len(x) - w + 1))]
+        for f in range(kernel.shape[2]):
+            pooled.append(max(0.0, max(sum(float(v @ kernel[k, :, f]) for k, v in enumerate(win)) for win in windows) + float(bias[f])))
+    return float(np.dot(pooled, model.out) + model.out_bias)
+
+
+def test_forward_pass_matches_a_plain_loop_whatever_the_pieces():
+    rng = random.Random(2)
+    model = conv_classifier.ConvClassifier(rows=1 << 10, size=4, filters=3)
+    texts = [None, "", "a", "a b", "a b c"] + [" ".join(f"w{rng.randrange(60)}x{rng.randrange(9)}yyyy" for _ in range(n)) for n in (4, 17, 64, 65, 66, 200)]
+    ids, _ = conv_classifier._prepare(texts, model.rows)
+    want = [plain_logit(model, i) for i in ids]
+    for step in (1 << 16, 64, 63, 7, 3):
+        assert model.logits(texts, step)[0] == pytest.approx(want, abs=1e-4), step
+
+
+def test_training_adds_to_its_start(tables):
+    """Toxic if two harmless words meet: no word alone says it."""
+    rng = random.Random(3)
+    words = ["river", "stone", "walks", "green", "house", "light"]
+    texts, y = [], []
+    for _ in range(1200):
+        text = [rng.choice(words) for _ in range(25)]
+        joined = " ".join(text).replace("green house", "green light")
+        toxic = rng.random() < 0.3
+        texts.append(joined + (" green house " if toxic else " walks river ") + " ".join(rng.choice(words[:2]) for _ in range(8)))
+        y.append(float(toxic))
+    y = np.array(y)
+    right = []
+    for epochs in (0, 8):
+        model = conv_classifier.ConvClassifier().fit(texts[:800], y[:800], epochs).calibrate(texts[800:1000], y[800:1000])
+        right.append(((model.scores(texts[1000:]) >= 0.3) == (y[1000:] == 1)).mean())
+    assert right[1] >= 0.95 and right[1] > right[0] + 0.1, right
+
+
 def test_toxicity_without_labels(spark, tables):
     model = conv_classifier.fit_toxicity(tables[2], tables[3].limit(0))
     assert conv_classifier.score_toxicity(tables[2], model).count() == 900
@@ -92,6 +135,57 @@ def test_quality_on_held_out_rows(spark, tables):
     assert cotrain.score_rows(df, model).columns[: len(df.columns)] == df.columns
 
 
+def test_views_teach_each_other():
+    """Source decides quality and so do words: half of each view's vocabulary
+    is unlabelled, and the exchange brings it in."""
+    rng = random.Random(5)
+
+    def page(k, known):
+        good = rng.random() < 0.5
+        half = 0 if known else rng.randrange(2)
+        words = [("good" if good else "bad") + "xy"[half] + chr(97 + rng.randrange(6)) for _ in range(8)] + ["any" + chr(97 + rng.randrange(26)) for _ in range(8)]
+        return " ".join(words), f"{'g' if good else 'b'}{rng.randrange(3) if known else rng.randrange(6)}", float(good)
+
+    known, free, test = [page(k, True) for k in range(80)], [page(k, False) for k in range(3000)], [page(k, False) for k in range(600)]
+    views = lambda rows: [cotrain.content_features([r[0] for r in rows]), [cotrain.meta_features("en", r[1], 9) for r in rows]]
+    k, f, t = views(known), views(free), views(test)
+    y, truth = np.array([r[2] for r in known]), np.array([r[2] for r in test])
+    used = [set(), set()]
+
+    def exchange(model):
+        p = [1 / (1 + np.exp(-z)) for z in model.logits(*f)]
+        out = []
+        for learner in (0, 1):
+            rows, labels = [], []
+            for label in (0, 1):
+                surety = p[1 - learner] if label else 1 - p[1 - learner]
+                best = [i for i in np.argsort(-surety, kind="stable") if surety[i] >= 0.9 and i not in used[learner]][:200]
+                used[learner] |= set(best)
+                rows += [f[learner][i] for i in best]
+                labels += [label] * len(best)
+            out.append((rows, np.array(labels, dtype=float)))
+        return out
+
+    apart = np.arange(80) % 3 == 0
+    right = []
+    for rounds in (0, 2):
+        used[:] = [set(), set()]
+        model = cotrain.co_train(k, y, apart, exchange, rounds)
+        right.append([((s >= 0.5) == (truth == 1)).mean() for s in model.scores(*t)])
+    assert all(b > a + 0.05 for a, b in zip(*right, strict=True)) and right[1][2] > 0.95, right
+
+
+def test_scores_under_taken_names(spark, tables):
+    docs, labels, df, known = tables
+    clash = df.withColumn("_score", F.lit(1)).withColumn("_KEPT", F.lit(2))
+    model = cotrain.fit_quality(clash, known)
+    with pytest.raises(ValueError, match="_score"):
+        cotrain.score_rows(clash, model)
+    assert fresh(clash, "_score", "_kept", "x") == ["__score", "__kept", "x"]
+    assert cotrain.score_rows(clash, model, ["a", "b", "c", "d"]).count() == len(docs)
+    assert cotrain.score_quality(df.limit(0), model).count() == 0
+
+
 def test_quality_without_labels_keeps_all(spark, tables):
     model = cotrain.fit_quality(tables[2], tables[3].limit(0))
     assert model is None and cotrain.score_quality(tables[2], model).filter("kept").count() == 900
