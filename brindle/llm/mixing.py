@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import cut, word_count
+from brindle.llm.common import cut, salted_join, word_count
 
 
 def apportion(claims: DataFrame, keys: list[str], order: list[str], value: str, seats: str, out: str) -> DataFrame:
@@ -91,7 +91,11 @@ def _spread(docs: DataFrame, weights: tuple[int, ...], share: float, ceiling: fl
     # bounded by words and by items, so that short texts do not pile up in a shard
     shards = F.greatest(F.ceil(F.col("source_size") / shard_words), F.ceil(F.col("_items") / shard_rows), F.lit(1)).cast("int")
     keyed = keyed.join(counted, ["_null", "_name"]).withColumn("_shards", shards).drop("_items")
-    rows = named.join(keyed, ["_null", "_name"]).drop("_null", "_name")
+    if targets.limit(10_001).count() <= 10_000:
+        rows = named.join(F.broadcast(keyed), ["_null", "_name"])
+    else:  # a source may hold a third of all documents
+        rows = salted_join(named, keyed, ["_null", "_name"], ["doc_id", "text_hash", "chunk"], named.count())
+    rows = rows.drop("_null", "_name")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash", "chunk"), F.col("_shards")).cast("int"))
     # first to groups of shards, then within a group: no task ranks all shards of a source
     sizes = rows.groupBy("source_no", "shard").agg(F.sum(F.col("size") * F.col("n")).alias("shard_size"), F.first("blocks").alias("blocks"))
