@@ -11,6 +11,7 @@ sequence and place each number has.
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -21,8 +22,18 @@ from pyspark.sql import functions as F
 from brindle.llm.common import cut, gapless
 from brindle.llm.hashing import mix, pieces, span_hashes
 
-_CACHED_UNITS = 1_500_000
-_tokenizers: dict[str, _Units] = {}
+_CACHED_UNITS = 1_000_000
+_tokenizers: dict[str, _Units | _Whole] = {}
+
+# The normaliser and pre-tokenizer whose units _Units finds itself.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 # Classes of bytes in lower-cased UTF-8. White space and changes of class end a
 # pre-token of the tokenizer's pattern, and every digit is one of its own. Bytes
@@ -45,6 +56,27 @@ def _hidden() -> dict[int, int]:
     return {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - own))}
 
 
+class _Whole:
+    """Token ids of texts by a tokenizer of any kind."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype=np.uint32) for t in texts]
+
+
+def _encoder(path: str) -> _Units | _Whole:
+    """Units are looked up only for the tokenizer they are known to hold for."""
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    plain = all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"]) for t in said.get("added_tokens", []))
+    known = said.get("normalizer") == _NORMALIZER and said.get("pre_tokenizer") == _PRE_TOKENIZER and said["model"]["type"] == "BPE" and plain
+    return _Units(path) if known else _Whole(path)
+
+
 class _Units:
     """Token ids of texts from the ids of their pre-tokens.
 
@@ -148,7 +180,7 @@ class _Units:
 
 def _pieces(path: str, longest: int, end_id: int):
     def cut_up(batches):
-        units = _tokenizers.get(path) or _tokenizers.setdefault(path, _Units(path))
+        units = _tokenizers.get(path) or _tokenizers.setdefault(path, _encoder(path))
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 rows = batch.slice(at, 1024).to_pydict()
@@ -282,8 +314,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     length, ids_crc32, sequence_id, offset.
 
     A null text is empty and has the one piece [end_id]. Only documents longer
-    than ``capacity`` are cut. Repeated rows are packed as often as they occur,
-    a null doc_id like any other. An empty table gives no rows.
+    than ``capacity`` are cut; texts are tokenised whole, whatever their length.
+    Repeated rows are packed as often as they occur, a null doc_id like any
+    other; pieces of one length are alike to the plan and get their places in
+    hashed order. An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = cut(rows.mapInArrow(_pieces(tokenizer_path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))
