@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import contextlib
 import hashlib
+import itertools
 import json
 import math
 import struct
@@ -90,7 +91,7 @@ def _record(kind: str, page: dict) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {page['payload_bytes']}\r\n\r\n".encode()
     block = http + (page["payload"] if kind == "response" else b"")
     digest = base64.b32encode(bytes.fromhex(page["payload_digest"])).decode()
-    url = (page["url"] or "urn:none").replace("\r", "%0D").replace("\n", "%0A")
+    url = (NO_URL if page["url"] is None else page["url"]).replace("\r", "%0D").replace("\n", "%0A")
     head = {
         "WARC-Type": kind,
         "WARC-Record-ID": f"<urn:page:{page['page_id']}>",
@@ -126,7 +127,7 @@ def parse_record(data: bytes) -> dict:
     if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(stated[b"content-length"])):
         raise ValueError(f"payload of {fields['warc-record-id']} does not match its digest")
     return {
-        "page_id": _page_number(fields["warc-record-id"]), "url": fields["warc-target-uri"], "payload_bytes": int(stated[b"content-length"]),
+        "page_id": _page_number(fields["warc-record-id"]), "url": None if fields["warc-target-uri"] == NO_URL else fields["warc-target-uri"], "payload_bytes": int(stated[b"content-length"]),
         "payload_digest": digest, "record_type": kind, "refers_to": _page_number(fields.get("warc-refers-to")), "payload": payload if kind == "response" else None,
     }
 
@@ -134,35 +135,35 @@ def parse_record(data: bytes) -> dict:
 # ---- writing --------------------------------------------------------------
 
 
-def _writer(folder: str):
+#: Stands for no URL in a record.
+NO_URL = "urn:x-no-url"
+
+
+def _writer(folder: str, most: int):
     def write(batches):
-        """One archive per task, streamed record by record; an attempt that is
-        lost leaves a file that no manifest names."""
+        """Archives of at most ``most`` records, whose index lines are held until
+        they close, streamed record by record; an attempt that is lost leaves
+        files that no manifest names."""
         store, path = pafs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
-        index, name, at, n = [], f"{uuid.uuid4().hex}.wacz", 0, 0
-        with contextlib.ExitStack() as stack:
-            archive = member = None
-            for batch in batches:
-                for k in range(0, batch.num_rows, 64):
-                    for page in batch.slice(k, 64).to_pylist():
-                        if archive is None:
-                            sink = stack.enter_context(store.open_output_stream(f"{path}/{name}"))
-                            archive = stack.enter_context(zipfile.ZipFile(_Counted(sink), "w", zipfile.ZIP_STORED))
-                            member = archive.open(MEMBER, "w", force_zip64=True)
+        pages = (page for batch in batches for k in range(0, batch.num_rows, 64) for page in batch.slice(k, 64).to_pylist())
+        for first in pages:
+            index, name, at = [], f"{uuid.uuid4().hex}.wacz", 0
+            with contextlib.ExitStack() as stack:
+                sink = stack.enter_context(store.open_output_stream(f"{path}/{name}"))
+                archive = stack.enter_context(zipfile.ZipFile(_Counted(sink), "w", zipfile.ZIP_STORED))
+                with archive.open(MEMBER, "w", force_zip64=True) as member:
+                    for page in itertools.chain([first], itertools.islice(pages, most - 1)):
                         packer = zlib.compressobj(4, zlib.DEFLATED, 31)
                         data = packer.compress(_record(page["record_type"], page)) + packer.flush()
                         member.write(data)
                         entry = {"url": page["url"], "digest": page["payload_digest"], "offset": at, "length": len(data), "filename": MEMBER}
                         index.append(f"urn:page:{page['page_id']} 20240101000000 {json.dumps(entry)}\n".encode())
-                        at, n = at + len(data), n + 1
-            if archive is not None:
-                member.close()
+                        at += len(data)
                 with archive.open(INDEX, "w", force_zip64=True) as lines:
                     lines.writelines(index)
                 archive.writestr(PACKAGE, json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [{"path": MEMBER}, {"path": INDEX}]}))
-        if n:
-            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [n], "bytes": [at]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [len(index)], "bytes": [at]}, schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
     return write
 
@@ -188,7 +189,7 @@ class _Counted:
         return False
 
 
-def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, most_records: int = 50_000) -> DataFrame:
     """Write a record per row of ``pages(page_id, url, html)`` and return the
     manifest (path, records, bytes of records), materialised.
 
@@ -196,7 +197,10 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000) -> Da
     payloads of at least ``least_bytes`` bytes, those with the largest page_id
     (several if the row repeats) are responses and the others revisit it;
     rows with a null page_id come before all others and are responses if no
-    other row has their payload. Smaller payloads are all responses.
+    other row has their payload. Smaller payloads are all responses. A null URL
+    reads back as null. A page is one record, however long, and must fit into a
+    task's memory; an archive has at most ``most_records``. An empty table gives
+    no archive; other columns are ignored.
     """
     data = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", data.alias("payload"))
@@ -208,7 +212,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000) -> Da
         "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"),
     )
-    return cut(rows.mapInArrow(_writer(folder), "path string, records long, bytes long"))
+    return cut(rows.mapInArrow(_writer(folder, most_records), "path string, records long, bytes long"))
 
 
 # ---- reading --------------------------------------------------------------

@@ -243,12 +243,14 @@ def test_archives_round_trip(spark, tmp_path):
     html = {1: big, 2: big, 3: "small", 4: "small", 5: None, 6: "", 7: "é" * 600, 8: "é" * 600 + " ", 9: big, 10: "\r\n\r\nWARC/1.1\r\n" * 200}
     rows = [(k, f"http://e/{k}\r\nX: y" if k % 2 else None, h, 1) for k, h in html.items()] + [(None, "u", big, 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, payload int").repartition(3)
-    manifest = wacz.write_archives(df, f"file://{tmp_path}/w")
+    manifest = wacz.write_archives(df, f"file://{tmp_path}/w", most_records=2)
+    assert manifest.count() >= 6 and all(r["records"] <= 2 for r in manifest.collect())
     got = wacz.read_archives(manifest, with_payload=True, chunk_bytes=300).collect()
     assert len(got) == len(rows)
     for r in got:
         data = (big if r["page_id"] is None else html[r["page_id"]] or "").encode()
         assert r["payload_bytes"] == len(data) and r["payload_digest"] == hashlib.sha1(data).hexdigest()
+        assert (r["url"] is None) == (r["page_id"] is not None and r["page_id"] % 2 == 0)
         revisit = r["page_id"] in (1, 2, None)
         assert r["record_type"] == ("revisit" if revisit else "response") and r["refers_to"] == (9 if revisit else None)
         assert (r["payload"] is None) if revisit else (bytes(r["payload"]) == data)
@@ -292,6 +294,21 @@ def test_units_agree_with_the_tokenizer():
         assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    said = json.loads(open(tokenizer_path(), encoding="utf-8").read())
+    assert isinstance(pattern_pack._encoder(tokenizer_path()), pattern_pack._Units)
+    said["normalizer"]["normalizers"].pop()  # keeps capitals
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(said), encoding="utf-8")
+    encoder, plain = pattern_pack._encoder(str(other)), Tokenizer.from_file(str(other))
+    assert isinstance(encoder, pattern_pack._Whole)
+    assert [x.tolist() for x in encoder.encode(["Hello World's 12", ""])] == [plain.encode(t, add_special_tokens=False).ids for t in ("Hello World's 12", "")]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plan_places_every_piece(seed):
     rng = np.random.default_rng(seed)
