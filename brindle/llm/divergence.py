@@ -114,6 +114,40 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.when((total(p) > 0) & (total(q) > 0), F.element_at(F.transform(F.array(sums), distance), 1))
 
 
+def verdicts_sql(class_limit: float = 0.30, common_limit: float = 0.70, min_chars: int = 200, min_words: int = 60) -> str:
+    """DuckDB SQL for quality_verdicts over ``documents``, by other means:
+    windows are compared as texts and the histograms are lists."""
+    words = r"list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    spaces = " || ".join(f"chr({ord(c)})" for c in SPACES)
+    inside = lambda characters: f"length(t) - length(translate(t, {characters}, ''))"
+    named = [inside(quote(c)) for c in (SMALL, CAPITAL, DIGITS)] + [inside(spaces)] + [inside(quote(c)) for c in (MARKS, SYMBOLS)]
+    lists = " ".join(f"WHEN {quote(lang)} THEN [{', '.join(map(quote, listed))}]" for lang, listed in COMMON_WORDS.items())
+    longest = max(map(len, COMMON_WORDS.values()))
+
+    def distance(p: str, q: str) -> str:
+        x, y = f"{p}[k] / list_sum({p})", f"coalesce({q}[k], 0) / list_sum({q})"
+        part = lambda a, b: f"(CASE WHEN {a} > 0 THEN {a} * log2(2 * ({a}) / ({a} + {b})) ELSE 0 END) / 2"
+        summed = f"list_sum(list_transform(range(1, len({p}) + 1), lambda k: {part(x, y)} + {part(y, x)}))"
+        return f"CASE WHEN list_sum({p}) > 0 AND list_sum({q}) > 0 THEN sqrt(greatest({summed}, 0.0)) END"
+
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT *, {words} AS w, list_filter(string_split(t, chr(10)), lambda x: translate(x, {spaces}, '') <> '') AS lines, CASE lang {lists} ELSE [] END AS listed FROM d),
+        g AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS five FROM w WHERE len(w) > 5),
+        again AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, five) > 1),
+        covered AS (SELECT r, count(DISTINCT i + k)::BIGINT AS n_repeat_words FROM again, range(5) AS o(k) GROUP BY r),
+        f AS (SELECT r, doc_id, lang, len(w)::BIGINT AS n_words, (length(t) - ({inside(spaces)}))::BIGINT AS word_chars, ({inside(quote(SYMBOLS))})::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+                coalesce(n_repeat_words, 0) AS n_repeat_words, length(t) AS n_chars, [{', '.join(named)}] AS named, list_transform(listed, lambda c: len(list_filter(w, lambda x: x = c))) AS common FROM w LEFT JOIN covered USING (r)),
+        h AS (SELECT * EXCLUDE (named), list_append(named, n_chars - list_sum(named)::BIGINT)::DOUBLE[] AS classes FROM f),
+        refs AS (SELECT lang, [{', '.join(f'sum(classes[{k}])' for k in range(1, len(CLASSES) + 1))}]::DOUBLE[] AS ref_classes, [{', '.join(f'coalesce(sum(common[{k}]), 0)' for k in range(1, longest + 1))}]::DOUBLE[] AS ref_common FROM h GROUP BY lang),
+        j AS (SELECT h.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN n_chars >= {min_chars} THEN {distance('classes', 'ref_classes')} END AS cd,
+                CASE WHEN n_words >= {min_words} AND len(common) > 0 THEN CASE WHEN list_sum(common) > 0 THEN {distance('common', 'ref_common')} WHEN list_sum(ref_common) > 0 THEN 1.0 END END AS md
+              FROM h JOIN refs ON h.lang IS NOT DISTINCT FROM refs.lang)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 9) AS class_distance, round(md, 9) AS common_distance,
+               NOT base_failed AND NOT coalesce(cd > {class_limit}, false) AND NOT coalesce(md > {common_limit}, false) AS kept FROM j"""
+
+
 def quality_verdicts(docs: DataFrame, class_limit: float = 0.30, common_limit: float = 0.70, min_chars: int = 200, min_words: int = 60) -> DataFrame:
     """One row per row of ``docs(doc_id, text, lang)``: doc_id, n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -142,5 +176,5 @@ def quality_verdicts(docs: DataFrame, class_limit: float = 0.30, common_limit: f
     diverges = F.coalesce(F.col("class_distance") > class_limit, F.lit(False)) | F.coalesce(F.col("common_distance") > common_limit, F.lit(False))
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), "class_distance", "common_distance", (~failed & ~diverges).alias("kept"),
+        failed.alias("base_failed"), F.round("class_distance", 9).alias("class_distance"), F.round("common_distance", 9).alias("common_distance"), (~failed & ~diverges).alias("kept"),
     )

@@ -109,6 +109,7 @@ ORACLE_SQL: dict[str, str] = {
                count(*) FILTER (first) AS n_blocks
         FROM placed GROUP BY conv_id
     """,
+    "op4_quality_rules": divergence.verdicts_sql(),
     "op7_warc": """
         WITH payloads AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages

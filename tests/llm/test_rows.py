@@ -7,6 +7,7 @@ import struct
 import zipfile
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -73,6 +74,66 @@ def test_jensen_shannon(spark):
     assert got[:3] == pytest.approx([js(*r) for r in rows[:3]], abs=1e-9) and got[3] is None
 
 
+def test_verdicts_match_a_plain_computation(spark):
+    """Both distances and the verdict, word by word and character by character."""
+    rng = np.random.default_rng(8)
+    vocabulary = {"en": divergence.COMMON_WORDS["en"] + ["Stone", "river,", "42", "walk!"], "de": divergence.COMMON_WORDS["de"] + ["Häuser", "fließt.", "#x"], "xx": ["ab", "cd"], None: ["ab", "Cd"]}
+    rows = []
+    for k in range(120):
+        lang = list(vocabulary)[k % 4]
+        words = rng.choice(vocabulary[lang] if k % 11 else ["ZZZ", "qqq", "漢字", "%%"], rng.integers(5, 160))
+        rows.append((k % 100, [" ", "\n"][k % 2].join(words), lang, "x"))
+    rows.append((None, None, "en", "x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string")
+    got = Counter((r["doc_id"], r["n_words"], r["class_distance"] and round(r["class_distance"], 6), r["common_distance"] and round(r["common_distance"], 6), r["kept"]) for r in divergence.quality_verdicts(docs).collect())
+
+    def classes(text):
+        sets = [divergence.SMALL, divergence.CAPITAL, divergence.DIGITS, " \t\n\x0b\x0c\r", divergence.MARKS, divergence.SYMBOLS]
+        counts = [sum(c in s for c in text) for s in sets]
+        return np.array(counts + [len(text) - sum(counts)], dtype=float)
+
+    def common(text, lang):
+        words = WORD.findall(text)
+        return np.array([words.count(w) for w in divergence.COMMON_WORDS.get(lang, [])], dtype=float)
+
+    def distance(p, q):
+        if not p.sum() or not q.sum():
+            return None
+        p, q = p / p.sum(), q / q.sum()
+        kl = lambda a, b: sum(x * np.log2(x / y) for x, y in zip(a, b, strict=True) if x)
+        return float(np.sqrt(max(0.0, (kl(p, (p + q) / 2) + kl(q, (p + q) / 2)) / 2)))
+
+    texts = [(i, t or "", lang) for i, t, lang, _ in rows]
+    want = Counter()
+    for i, t, lang in texts:
+        same = [x for _, x, y in texts if y == lang]
+        n, *_, failed = expected(t)
+        c = distance(classes(t), sum(map(classes, same))) if len(t) >= 200 else None
+        m = None
+        if n >= 60 and lang in divergence.COMMON_WORDS:
+            total = sum(common(x, lang) for x in same)
+            m = distance(common(t, lang), total) if common(t, lang).sum() else 1.0 if total.sum() else None
+        kept = not failed and not (c or 0) > 0.30 and not (m or 0) > 0.70
+        want[i, n, c and round(c, 6), m and round(m, 6), kept] += 1
+    assert got == want and len({k[-1] for k in want}) == 2
+
+
+def test_sql_of_the_quality_rules(spark):
+    import duckdb
+    from brindle.llm.queries import ORACLE_SQL, QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).exists():
+        pytest.skip("no tables here")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    relation = connection.sql(ORACLE_SQL["op4_quality_rules"])
+    near = lambda v: round(v, 6) if isinstance(v, float) else v
+    want = sorted(tuple(near(v) for v in row) for row in relation.fetchall())
+    got = QUERIES["op4_quality_rules"](spark, sf)
+    assert got.columns == relation.columns and sorted(tuple(near(v) for v in row) for row in got.collect()) == want
+
+
 def test_gibberish_is_rejected_by_its_common_words_alone(spark):
     rng = np.random.default_rng(5)
     common, nouns = divergence.COMMON_WORDS["en"], [f"{a}{b}{c}" for a in ("tra", "mo", "shel") for b in ("ven", "lid", "par") for c in ("ing", "er", "ton")]
