@@ -24,18 +24,35 @@ from brindle.llm.common import LINKS, block_links, block_pairs, by_key, componen
 SEED = 5
 
 
-def _tail(t: float) -> float:
-    return 0.5 * math.erfc(t / math.sqrt(2))
-
-
-def _joint_tail(t: float, cosine: float) -> float:
-    """Probability that two normals correlated by ``cosine`` both exceed t."""
-    x = np.linspace(t, t + 8, 4001)
-    y = np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * np.array([_tail((t - cosine * v) / math.sqrt(max(1e-12, 1 - cosine * cosine))) for v in x])
-    return float(np.sum((y[1:] + y[:-1]) / 2) * (x[1] - x[0]))
-
-
-def plan_filters(n: int, dim: int, threshold: float, expected: float = 14.0, bucket: int = 128, codes: int = 12, most_words: int = 2048) -> dict:
+def _upper(power: float, steps: int = 20_001) -> tuple[np.ndarray, np.ndarray]:
+    """Grid u on [-1, 1] and the integral of (1 - v^2)^power from u to 1."""
+    u = np.linspace(-1, 1, steps)
+    v = np.maximum(1 - u * u, 0.0) ** power
+    areas = (v[1:] + v[:-1]) / 2 * (u[1] - u[0])
+    return u, np.concatenate([np.cumsum(areas[::-1])[::-1], [0.0]])
+
+
+def cap_share(height: float, dim: int) -> float:
+    """Share of the unit vectors within a cap: their cosine with its direction
+    is ``height`` or more."""
+    u, upper = _upper((max(dim, 3) - 3) / 2)
+    return float(np.interp(height, u, upper) / upper[0])
+
+
+def joint_share(height: float, cosine: float, dim: int) -> float:
+    """Probability that a random direction's cap holds both of a pair. Of a
+    direction, the parts along the first vector and across it to the second
+    have the density (1 - a^2 - b^2)^((dim - 4) / 2) on the disc."""
+    power = (max(dim, 4) - 4) / 2
+    u, upper = _upper(power)
+    a = np.linspace(height, 1, 4001)[:-1]
+    across = np.sqrt(1 - a * a)
+    least = (height - cosine * a) / (math.sqrt(max(1e-12, 1 - cosine * cosine)) * across)
+    inner = across ** (2 * power + 1) * np.interp(np.clip(least, -1, 1), u, upper)
+    return float(np.sum((inner[1:] + inner[:-1]) / 2) * (a[1] - a[0]) * (power + 1) / math.pi)
+
+
+def plan_filters(n: int, dim: int, threshold: float, expected: float = 10.0, bucket: int = 128, most_words: int = 2048) -> dict:
     """Cap height and code sizes for n vectors of dim coordinates.
 
     The cap is so high that a filter holds about ``bucket`` unrelated vectors,
@@ -43,17 +60,22 @@ def plan_filters(n: int, dim: int, threshold: float, expected: float = 14.0, buc
     them together (missing all: about exp(-expected)). Both follow n by one
     formula at every size, so recall stays and the work per vector does too.
     The filters of one product code are not independent directions, so they are
-    dealt to several codes of their own rotation and words, each with as few
-    blocks as keep its words per block at ``most_words``.
+    dealt to 12 codes of their own rotation and words, each with as few blocks
+    as keep its words per block at ``most_words``. With more than one block the
+    filters of a code still come and go together; then there are 48 codes, and
+    2.4 times as many filters (tests/llm/recall.py measures both).
     """
     share = min(0.2, bucket / max(n, 1))
-    low, high = 0.0, 12.0
-    for _ in range(60):
-        t = (low + high) / 2
-        low, high = (t, high) if _tail(t) > share else (low, t)
-    filters = expected / _joint_tail(low, threshold) / codes
-    blocks = max(1, min(dim, math.ceil(math.log(max(filters, 2)) / math.log(most_words))))
-    return {"dim": dim, "codes": codes, "blocks": blocks, "words": max(2, math.ceil(filters ** (1 / blocks))), "height": low / math.sqrt(dim)}
+    low, high = 0.0, 1.0
+    for _ in range(50):
+        h = (low + high) / 2
+        low, high = (h, high) if cap_share(h, dim) > share else (low, h)
+    for codes, wanted in ((12, expected), (48, 2.4 * expected)):
+        filters = wanted / max(joint_share(low, threshold, dim), 1e-12) / codes
+        blocks = max(1, min(dim, math.ceil(math.log(max(filters, 2)) / math.log(most_words))))
+        if blocks == 1:
+            break
+    return {"dim": dim, "codes": codes, "blocks": blocks, "words": max(2, math.ceil(filters ** (1 / blocks))), "height": low}
 
 
 def _codes(plan: dict) -> list[tuple]:
@@ -227,7 +249,7 @@ def _verify(threshold: float):
     return verify
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 1024, class_block: int = 128, expected: float = 14.0) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, block: int = 1024, class_block: int = 128, expected: float = 10.0) -> DataFrame:
     """One row per row of ``vectors(vec_id, embedding)``: vec_id, n_links,
     component_id, kept; other columns are ignored.
 

@@ -329,7 +329,7 @@ def jaccard_classes(
     longest: int = 8,
     target: float = 0.999,
     run_docs: int = 128,
-    block_docs: int = 256,
+    block_docs: int = 128,
     block_shingles: int = 1_000_000,
     range_rows: int = 400_000,
 ) -> DataFrame:
@@ -365,7 +365,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, **options) ->
     of two classes both stay, whatever their ids. Rows that repeat an id and
     its text count as copies, of which one stays, the same in every run.
     """
-    defaults = {"trees": 24, "longest": 8, "target": 0.999, "run_docs": 128, "block_docs": 256, "block_shingles": 1_000_000, "range_rows": 400_000}
+    defaults = {"trees": 24, "longest": 8, "target": 0.999, "run_docs": 128, "block_docs": 128, "block_shingles": 1_000_000, "range_rows": 400_000}
     rows, per_set = _classes(docs, threshold, **(defaults | options))
     names = [f"`{c}`" for c in docs.columns]
     text = F.col("text").cast("string")
