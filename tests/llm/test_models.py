@@ -215,3 +215,33 @@ def test_pipeline_stages(spark, tables, tmp_path):
     assert len(seen[1] & toxic & clean) == 0 and len(clean - seen[1]) <= 0.03 * len(clean)
     assert len(seen[2] & {5000 + k for k in range(0, 60, 2)}) == 0
     assert seen[3] <= seen[2] and seen[4] == seen[3]
+
+
+def test_pipeline_stages_on_edge_rows(spark, tables, tmp_path):
+    """Nulls everywhere, empty and long texts, repeated ids and rows, and columns
+    named like the stages' own; every stage keeps the columns as they are."""
+    import corpus_pipeline
+
+    docs, labels, df, known = tables
+    known.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(*d[:5], 1, "k", d[0] % 3) for d in docs[:80]]
+    rows += [(None, None, None, None, None, None, None, None), (None, "a null id", "en", "s1", 9, 1, "k", 1), (90001, "", "xx", "", 0, 1, "k", 1), (90002, "word " * 100_000, "en", "s", 5, 1, "k", 1)]
+    rows += [(90003, "x" * 300_000, None, "s1", 5, 1, "k", 1), rows[3], rows[3], (rows[4][0], "another text under an id that is there " * 3, "en", "s1", 9, 1, "k", 1)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, _score int, `_kept` string, copies int"
+    edge = spark.createDataFrame(rows, columns)
+    spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/empty.parquet")
+    empty = spark.read.parquet(f"{tmp_path}/empty.parquet")
+    given = {str(r) for r in edge.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, edge, str(tmp_path))
+        got = out.collect()
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+        if name == "packing":
+            assert sum(r["piece"] == 0 for r in got) == len(rows)
+            continue
+        assert out.dtypes == edge.dtypes and {str(r) for r in got} <= given
+        if name == "jaccard":
+            ids = [r["doc_id"] for r in got]
+            assert ids.count(rows[3][0]) <= 1 and ids.count(rows[4][0]) == 2 and ids.count(None) == 2 and {90001, 90002, 90003} <= set(ids)
+        if name == "mixture":
+            assert all(r["text"] and r["text"].strip() for r in got) and len(got) > len(rows)
