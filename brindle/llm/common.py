@@ -98,7 +98,7 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: list
     """Join on ``keys``, of which ``small`` has each once. A key with more than
     a thousandth of the ``rows`` of ``big`` (of such there are fewer than a
     thousand, so they are broadcast) is dealt by a hash of ``salt_by``."""
-    if rows < 4096:  # few for any task
+    if rows < 512:  # few for any task
         return big.join(small, keys, how)
     hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(64, rows // 1000)).select(*keys, F.lit(True).alias("_hot"))
     dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")

@@ -233,7 +233,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, rounds:
     apart = np.array([zlib.crc32(str(k).encode()) % 4 == 3 for k in rows["doc_id"]], dtype=bool)
     if any(len(np.unique(y[s])) < 2 for s in (apart, ~apart)):
         return None
-    free = used.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").filter("doc_id is not null")
+    labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     handed_over: list[set] = [set(), set()]  # texts that each view has learnt from
 
     def exchange(model: CoTrained) -> list[tuple[list, np.ndarray]]:
@@ -244,7 +244,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, rounds:
                 p = [1 / (1 + np.exp(-z)) for z in shared.value.logits(*_views(part))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(part.schema.get_field_index("key")), *map(pa.array, p)], ["doc_id", "key", "p0", "p1"])
 
-        judged = free.mapInArrow(judge, "doc_id long, key long, p0 double, p1 double")
+        # all are judged and the labelled ones left out afterwards, so that no text is shuffled
+        judged = used.filter("doc_id is not null").mapInArrow(judge, "doc_id long, key long, p0 double, p1 double").join(labelled, "doc_id", "left_anti")
         judged = cut(judged.groupBy("key").agg(F.min(F.struct("doc_id", "p0", "p1")).alias("r")).select("key", "r.*"))
         chosen = []  # (doc_id, key, learning view, label)
         for view in (0, 1):
