@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.lineage import cut as _cut
+from brindle.operators.lineage import store as _store
 
 
 def layers(nodes: DataFrame, edges: DataFrame, node: str = "id") -> DataFrame:
@@ -68,16 +69,22 @@ def dependents(edges: DataFrame, states: DataFrame, node: str = "id") -> DataFra
 
 
 def reachable(edges: DataFrame, starts: DataFrame, node: str = "id") -> DataFrame:
-    """Nodes that can be reached from the starts (included), with hop counts."""
-    seen = _cut(starts.select(node, F.lit(0).alias("hops")).distinct())
+    """Nodes that can be reached from the starts (included), with hop counts.
+
+    Edges are cut first and nodes are stored, so that a round's plan is a join
+    of three tables and knows nothing of the rounds before it."""
+    pairs = _cut(edges.select("src", "dst").distinct())
+    seen = _store(starts.select(node, F.lit(0).alias("hops")).distinct())
     frontier, hops = seen, 0
     while True:
         hops += 1
-        nexts = edges.join(frontier.select(F.col(node).alias("src")), "src").select(F.col("dst").alias(node)).distinct()
-        frontier = _cut(nexts.join(seen, node, "left_anti").select(node, F.lit(hops).alias("hops")))
+        nexts = pairs.join(frontier.select(F.col(node).alias("src")), "src").select(F.col("dst").alias(node)).distinct()
+        frontier = _store(nexts.join(seen, node, "left_anti").select(node, F.lit(hops).alias("hops")))
         if frontier.isEmpty():
             return seen
-        seen = _cut(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        if hops % 20 == 0:
+            seen = _store(seen)
 
 
 def shortest(edges: DataFrame, starts: DataFrame, node: str = "id", weight: str = "length") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise, so that a lost executor costs no recompute of what led here."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back, for the tables of a loop. A
+    checkpoint hands the plan's constraints and size estimates on, which multiply
+    from round to round; a stored table has those of its files."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
