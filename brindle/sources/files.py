@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -70,15 +72,30 @@ def read_acs(spark: SparkSession, path: str, schema: str, state: str, targets: l
     return rows.filter(code.startswith(state) & some).select(key, "NAME", *targets)
 
 
+def _code_sum(lines: pd.Series) -> pd.Series:
+    """Sum of the code points of each text."""
+    sums = np.cumsum(np.frombuffer("".join(lines).encode("utf-32-le"), "<u4"), dtype=np.int64)
+    ends = np.cumsum(lines.str.len().to_numpy(np.int64))
+    return pd.Series(np.diff(np.concatenate(([0], sums))[ends], prepend=0))
+
+
 def fastq_quality(spark: SparkSession, path: str) -> DataFrame:
     """Per file: reads, bases and mean Phred score. Quality lines are every
-    fourth line; files are read whole so that lines stay in step, one task per
-    file (many files in parallel)."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
-    quality = lines.select("file", F.explode(F.filter("lines", lambda x, i: (i % 4 == 3) & (x != ""))).alias("q"))
-    total = F.aggregate(F.transform(F.split("q", ""), lambda c: F.when(c != "", F.ascii(c) - 33).otherwise(0)), F.lit(0).cast("long"), lambda a, b: a + b)
-    per = quality.select("file", F.length("q").alias("bases"), total.alias("score"))
-    return per.groupBy("file").agg(F.count(F.lit(1)).alias("reads"), F.sum("bases").alias("bases"), (F.sum("score") / F.sum("bases")).alias("mean_phred"))
+    fourth line. Files are read in splits: each split is summed for the four
+    remainders that its lines' numbers can have, and the numbers of lines in the
+    splits before it tell which remainder is the quality lines'."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    lines = raw.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("_at"), F.monotonically_increasing_id().alias("_id"), "value")
+    lines = lines.select("file", "_at", "_id", F.length("value").alias("_bases"), F.pandas_udf(_code_sum, "long")("value").alias("_sum"))
+    some = F.col("_bases") > 0
+    kinds = lines.groupBy("file", "_at", (F.col("_id") % 4).alias("_kind")).agg(
+        F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"), F.count_if(some).alias("reads"), F.sum("_bases").alias("bases"), F.sum(F.col("_sum") - 33 * F.col("_bases")).alias("score")
+    )
+    kind = F.struct("_kind", "reads", "bases", "score")
+    splits = kinds.groupBy("file", "_at").agg(F.min("_first").alias("_first"), F.sum("_lines").alias("_lines"), F.collect_list(kind).alias("_kinds"))
+    before = F.coalesce(F.sum("_lines").over(Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quality = splits.withColumn("_before", before).select("file", "_first", "_before", F.inline("_kinds")).filter("(_kind - _first + _before) % 4 = 3 or (_kind - _first + _before) % 4 = -1")
+    return quality.groupBy("file").agg(F.sum("reads").alias("reads"), F.sum("bases").alias("bases"), (F.sum("score") / F.sum("bases")).alias("mean_phred")).filter("reads > 0")
 
 
 def read_gtfs(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
