@@ -122,7 +122,9 @@ def component_labels(edges: DataFrame) -> DataFrame:
 def decision_nodes(edges: DataFrame) -> DataFrame:
     """Nodes where a road network forks, ends or changes class or name."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node"), "fc", "ref")
-    stats = ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.count_distinct("fc").alias("classes"), F.count_distinct("ref").alias("refs"))
+    # few kinds of ends meet at a node, so they are counted before distinct values are
+    kinds = ends.groupBy("node", "fc", "ref").agg(F.count(F.lit(1)).alias("_ends"))
+    stats = kinds.groupBy("node").agg(F.sum("_ends").alias("degree"), F.count_distinct("fc").alias("classes"), F.count_distinct("ref").alias("refs"))
     return stats.withColumn("decision", (F.col("degree") != 2) | (F.col("classes") > 1) | (F.col("refs") > 1))
 
 
