@@ -88,21 +88,42 @@ def reachable(edges: DataFrame, starts: DataFrame, node: str = "id") -> DataFram
             seen = _store(seen)
 
 
-def shortest(edges: DataFrame, starts: DataFrame, node: str = "id", weight: str = "length") -> DataFrame:
+#: Of nodes that send on their distance, so many at most are broadcast.
+_FEW = 100_000
+
+
+def shortest(edges: DataFrame, starts: DataFrame, node: str = "id", weight: str = "length", light: float = 0.125) -> DataFrame:
     """Least summed weight from any start, edges used both ways: only nodes
-    whose distance fell in the last round send it on."""
-    both = _cut(edges.select("src", "dst", weight).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), weight)))
-    best = _cut(starts.select(node, F.lit(0.0).alias("distance")).distinct())
-    moved = best
+    whose distance fell send it on. The ``light`` share of the edges is followed
+    until nothing falls before the other edges are offered, all at once, what
+    fell since they last were; so most edges are read a few times and not in
+    every round. Edges without an end lead nowhere; a node that only edges
+    without a weight lead to has a null distance."""
+    both = edges.select("src", "dst", weight).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), weight))
+    both = _store(both.filter("src is not null and dst is not null"))
+    most = both.agg(F.percentile_approx(weight, light).alias("most")).first()["most"]
+    is_light = F.coalesce(F.col(weight) <= F.lit(most), F.lit(False))
+    near, far = _store(both.filter(is_light)), both.filter(~is_light)
+    # _fell: in the last round; _due: since the far edges were offered last
+    best = _store(starts.select(node, F.lit(0.0).alias("distance"), F.lit(True).alias("_fell"), F.lit(True).alias("_due")).distinct())
     while True:
-        offers = both.join(moved.withColumnRenamed(node, "src"), "src").select(F.col("dst").alias(node), (F.col("distance") + F.col(weight)).alias("_offer"))
-        offers = offers.groupBy(node).agg(F.min("_offer").alias("_offer"))
-        joined = _cut(best.join(offers, node, "full"))
-        better = F.col("_offer").isNotNull() & (F.col("distance").isNull() | (F.col("_offer") < F.col("distance")))
-        moved = _cut(joined.filter(better).select(node, F.col("_offer").alias("distance")))
-        if moved.isEmpty():
-            return best
-        best = _cut(joined.select(node, F.when(better, F.col("_offer")).otherwise(F.col("distance")).alias("distance")))
+        while n := best.filter("_fell").count():
+            best = _offered(best, near, "_fell", n, node, weight)
+        n = best.filter("_due").count()
+        if not n:
+            return best.select(node, "distance")
+        best = _offered(best, far, "_due", n, node, weight)
+
+
+def _offered(best: DataFrame, edges: DataFrame, which: str, n: int, node: str, weight: str) -> DataFrame:
+    """``best`` after the ``n`` nodes of ``which`` have sent on their distance."""
+    senders = best.filter(which).select(F.col(node).alias("src"), "distance")
+    offers = edges.join(F.broadcast(senders) if n <= _FEW else senders, "src").select(F.col("dst").alias(node), (F.col("distance") + F.col(weight)).alias("_offer"))
+    due = F.col("_due") if which == "_fell" else F.lit(False)
+    known = best.select(node, F.lit(None).cast("double").alias("_offer"), "distance", due.alias("_due"))
+    met = known.unionByName(offers, allowMissingColumns=True).groupBy(node).agg(F.min("distance").alias("distance"), F.min("_offer").alias("_offer"), F.max(F.coalesce("_due", F.lit(False))).alias("_due"))
+    better = F.col("_offer").isNotNull() & (F.col("distance").isNull() | (F.col("_offer") < F.col("distance")))
+    return _store(met.select(node, F.when(better, F.col("_offer")).otherwise(F.col("distance")).alias("distance"), better.alias("_fell"), (better | F.col("_due")).alias("_due")))
 
 
 def component_labels(edges: DataFrame) -> DataFrame:
