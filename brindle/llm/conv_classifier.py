@@ -11,6 +11,8 @@ fit, lies at one common score. The language is guessed from the text itself.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,11 +35,12 @@ def _prepare(texts: list, rows: int) -> tuple[list[np.ndarray], np.ndarray]:
     their beginnings, and its language: the index of the list with the most words in the text,
     -1 if none has any."""
     half, ids, langs = np.uint64(rows // 2), [], np.full(len(texts), -1)
-    for k, (words, *heads) in enumerate(by_text([(t or "").lower() for t in texts], NO_LETTER, PREFIXES)):
-        ids.append(np.stack([words % half, *(h % half + half for h in heads)], axis=1).astype(np.int32))
-        votes = [np.isin(words, listed).sum() for listed in _STOP]
-        if max(votes):
-            langs[k] = int(np.argmax(votes))
+    for at in range(0, len(texts), 256):
+        for k, (words, *heads) in enumerate(by_text([(t or "").lower() for t in texts[at : at + 256]], NO_LETTER, PREFIXES), at):
+            ids.append(np.stack([words % half, *(h % half + half for h in heads)], axis=1).astype(np.int32))
+            votes = [np.isin(words, listed).sum() for listed in _STOP]
+            if max(votes):
+                langs[k] = int(np.argmax(votes))
     return ids, langs
 
 
@@ -191,7 +194,7 @@ def bucket(doc_id, parts: int = 4):
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, longest: int = 100_000, most_chars: int = 40_000_000, epochs: int = 8) -> ConvClassifier:
     """Fit on at most ``sample`` labelled rows outside the held-out fold
     (crc32(doc_id) mod 4 = 2), in hashed order, a third of them toxic ones;
-    fold 3 of them calibrates. To bound the driver's memory, texts beyond
+    fold 3 of them calibrates. The fit runs in one task. To bound its memory, texts beyond
     ``longest`` code points are not fitted on, and the sample ends where its
     texts reach ``most_chars`` code points together; scoring has no such bounds.
     Of several texts of one id the least is taken, of several labels the highest."""
@@ -204,17 +207,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 6000, longest
     texts = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     texts = cut(texts.withColumn("place", place))
     sizes = texts.select("doc_id", F.sum(F.length("text")).over(Window.partitionBy(F.lit(0)).orderBy("place", "doc_id")).alias("upto"))  # sample rows at most
-    rows = texts.join(F.broadcast(sizes.filter(F.col("upto") <= most_chars)), "doc_id").select("text", "toxic", bucket(F.col("doc_id")).alias("fold"), "doc_id").toPandas().sort_values("doc_id")
-    model = ConvClassifier()
-    if not len(rows):
-        return model
-    held = (rows["fold"] == 3).to_numpy()
-    if held.all() or not held.any():
-        held = np.zeros(len(rows), dtype=bool)
-    values, y = rows["text"].tolist(), rows["toxic"].to_numpy().astype(float)
-    model.fit([t for t, h in zip(values, held, strict=True) if not h], y[~held], epochs)
-    apart = held if held.any() else ~held
-    return model.calibrate([t for t, h in zip(values, apart, strict=True) if h], y[apart])
+    rows = texts.join(F.broadcast(sizes.filter(F.col("upto") <= most_chars)), "doc_id").select("text", "toxic", (bucket(F.col("doc_id")) == 3).alias("held"), "doc_id")
+    found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(_fitted(epochs), "model binary").first()
+    return pickle.loads(found["model"]) if found else ConvClassifier()
+
+
+def _fitted(epochs: int):
+    def fit(batches):
+        model, rows = ConvClassifier(), list(batches)
+        if rows:
+            texts, y, held = (np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in rows]) for k in range(3))
+            y, held = y.astype(float), held.astype(bool)
+            if held.all():
+                held[:] = False
+            model.fit(texts[~held].tolist(), y[~held], epochs)
+            apart = held if held.any() else ~held
+            model.calibrate(texts[apart].tolist(), y[apart])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    return fit
 
 
 def score_rows(docs: DataFrame, model: ConvClassifier, cut_score: float = 0.3, name: str = "_score") -> DataFrame:

@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 from brindle.llm.common import cut, gapless
 from brindle.llm.hashing import mix, pieces, span_hashes
 
-_CACHED_UNITS = 1_000_000
+# A worker keeps what it once took, so both bound its memory: units in the cache,
+# and bytes of text handled at once (about 60 times as many in arrays).
+_CACHED_UNITS = 500_000
+_PIECE_BYTES = 1 << 19
 _tokenizers: dict[str, _Units | _Whole] = {}
 
 # The normaliser and pre-tokenizer whose units _Units finds itself.
@@ -132,7 +135,7 @@ class _Units:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        for first, last, data in pieces(texts, 1 << 21):
+        for first, last, data in pieces(texts, _PIECE_BYTES):
             out += self._encode(texts[first:last], data)
         return out
 
@@ -150,7 +153,7 @@ class _Units:
         solid = np.concatenate(([False], kind != _SPACE, [False]))
         turns = np.flatnonzero(solid[1:] != solid[:-1])
         word_start, word_end = turns[0::2], turns[1::2]
-        unsure = np.concatenate(([0], np.cumsum((kind == _UNSURE) | (np.concatenate((raw[:-1] == 60, [False])) & np.concatenate((raw[1:] == 124, [False]))))))
+        unsure = np.concatenate(([0], np.cumsum((kind == _UNSURE) | (np.concatenate((raw[:-1] == 60, [False])) & np.concatenate((raw[1:] == 124, [False]))), dtype=np.int32)))
         odd = unsure[word_end] > unsure[word_start]
         # units begin at changes of class and at digits, in odd words only once
         begins = np.concatenate(([True], kind[1:] != kind[:-1])) | (kind == _DIGIT)
@@ -158,7 +161,7 @@ class _Units:
         inside_odd = np.zeros(len(raw) + 1, dtype=np.int8)
         np.add.at(inside_odd, word_start[odd], 1)
         np.add.at(inside_odd, word_end[odd], -1)
-        begins &= np.cumsum(inside_odd[:-1]) == 0
+        begins &= np.cumsum(inside_odd[:-1], dtype=np.int8) == 0
         begins[word_start[odd]] = True
         starts = np.flatnonzero(begins)
         word = np.searchsorted(word_start, starts, side="right") - 1
