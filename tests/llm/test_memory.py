@@ -8,7 +8,7 @@ from brindle.llm.queries import tokenizer_path
 
 
 def test_packing_holds_few_bytes_beside_its_texts():
-    """Pipeline, packing: a worker took 130 MB beside a batch for its arrays."""
+    """Pipeline, packing: 110 MB were taken here beside the ids."""
     rng = random.Random(1)
     words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
     texts = [" ".join(rng.choices(words, k=5000)) for _ in range(120)]
