@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters that are not ASCII white space.
@@ -100,9 +100,17 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: list
     thousand, so they are broadcast) is dealt by a hash of ``salt_by``."""
     if rows < 512:  # few for any task
         return big.join(small, keys, how)
-    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(64, rows // 1000)).select(*keys, F.lit(True).alias("_hot"))
-    dealt = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
-    copies = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(64, rows // 1000)).select(*keys)
+    return _dealt_join(big, small, keys, salt_by, hot, how, salts)
+
+
+def _dealt_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: list[str], hot: DataFrame | None, how: str, salts: int = 32) -> DataFrame:
+    """Join on ``keys``; those in ``hot``, a few, are dealt by a hash of ``salt_by``."""
+    if hot is None:
+        return big.join(small, keys, how)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    dealt = big.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
+    copies = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -111,27 +119,40 @@ def components(edges: DataFrame) -> DataFrame:
     row (node, component) per node that is no component's smallest;
     ``component`` is the smallest node reachable. Alternates large-star and
     small-star steps, whose number grows with the logarithm of the longest
-    path, until nothing changes. Nodes of many edges are salted."""
+    path, until all that is left are stars. Nodes of many edges are salted."""
     edges = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    mark = _mark(edges)
-    while mark[0]:
+    rows = edges.count()
+    while rows:
+        rows, unfinished, hot_u, hot_v = _ends(edges, rows)
+        if not unfinished:
+            break
         # what hangs on v hangs on the least that v hangs on
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        large = salted_join(edges, least.withColumnRenamed("u", "v"), ["v"], ["u"], mark[0], "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
-        # all that u hangs on, and u, hang on the least of them
+        large = _dealt_join(edges, least.withColumnRenamed("u", "v"), ["v"], ["u"], hot_v, "left").select("u", F.coalesce("m", "v").alias("v"))
+        # all that u hangs on, and u, hang on the least of them; no u has more edges than before
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, least, ["u"], ["v"], mark[0])
+        small = _dealt_join(large, least, ["u"], ["v"], hot_u, "inner")
         small = small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = cut(small.select("e.u", "e.v").filter("u <> v").distinct())
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+def _ends(edges: DataFrame, before: int) -> tuple[int, int, DataFrame | None, DataFrame | None]:
+    """In one pass over distinct ``edges``, u > v: their number, the number of
+    nodes that keep them from being stars around the least node (none: each u
+    hangs on one v, which hangs on nothing), and the u and the v of many edges,
+    or None. ``before`` is the number of edges or that of the round before,
+    which at most doubles, so there are fewer than 2,000 of either."""
+    end = lambda c, up: F.struct(F.col(c).alias("node"), F.lit(up).alias("up"), F.lit(1 - up).alias("down"))
+    ends = edges.select(F.explode(F.array(end("u", 1), end("v", 0))).alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("up"), F.sum("e.down").alias("down"))
+    seen, most = Observation(), max(64, before // 1000)
+    often = ends.observe(seen, F.sum("up").alias("n"), F.expr("count_if(up > 1 or up > 0 and down > 0)").alias("unfinished")).filter(f"up > {most} or down > {most}").collect()
+
+    def hot(name: str, count: str) -> DataFrame | None:
+        found = [(r["node"],) for r in often if r[count] > most]
+        return edges.sparkSession.createDataFrame(found, edges.select(name).schema) if found else None
+
+    return seen.get["n"] or 0, seen.get["unfinished"] or 0, hot("u", "up"), hot("v", "down")
 
 
 def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
